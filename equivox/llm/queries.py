@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from equivox.llm import decontaminate, fingerprints, mixing, sharding, simhash, tokens
+from equivox.llm import decontaminate, fingerprints, mixing, sharding, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op4_decontamination": decontaminate.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_simhash": simhash.op6,
     "op7_mixing": mixing.op7,
     "op8_token_counts": tokens.op8,
