@@ -239,7 +239,9 @@ def training_pages(n: int, seed: int) -> list[tuple[str, list[tuple[bool, str]]]
 
     def words(lo: int, hi: int) -> str:
         style = rng.random()
-        ws = ["".join(syllables[k] for k in three[: 1 + len_]) for three, len_ in zip(rng.integers(0, len(syllables), (n_ := int(rng.integers(lo, hi + 1)), 3)).tolist(), rng.integers(0, 3, n_).tolist(), strict=True)]
+        n = int(rng.integers(lo, hi + 1))
+        parts, lengths = rng.integers(0, len(syllables), (n, 3)).tolist(), rng.integers(1, 4, n).tolist()
+        ws = ["".join(syllables[k] for k in own[:length]) for own, length in zip(parts, lengths, strict=True)]
         if style < 0.08:
             return " ".join(w.upper() + "!!" for w in ws)
         if style < 0.16:
