@@ -2,5 +2,442 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from equivox.functions import text as tx
+from equivox.operators import lexicons, matchers, oracle, parsers, rank, scaffold, segment, similarity, triage
+from equivox.plans.corpora import C1_SQL, C2_SQL, C3_SQL, TERMS_SQL, c1, c2, c3, t, terms
+from equivox.sources import html, markdown
+
+PARSERS = ("low", "high", "lexical", "object")
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def literal(x) -> str:
+    return "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def rows_sql(rows: list[tuple], names: str) -> str:
+    return f"(values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) as v({names})"
+
+
+# --- segmentation ------------------------------------------------------------------------------------
+
+SENTENCES_SQL = r"""
+s as (
+  select doc_id, unnest(range(0, len(p))) as sent_no, unnest(p) as text
+  from (select doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as p from documents))"""
+
+
+@query(f"with {SENTENCES_SQL} select doc_id, sent_no::int as sent_no, text, length(text)::int as n from s")
+def unit_segment(spark, sf_dir):
+    return segment.explode_sentences(t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "sent_no", "text", F.length("text").alias("n"))
+
+
+@query(f"""with {SENTENCES_SQL},
+d as (select *, row_number() over (partition by doc_id, text order by sent_no) as k from s where length(text) >= 25)
+select doc_id, text, row_number() over (partition by doc_id order by sent_no)::int as n from d where k = 1""")
+def unit_dedup_number(spark, sf_dir):
+    rows = segment.floor(segment.explode_sentences(t(spark, sf_dir, "documents").select("doc_id", "text")))
+    rows = segment.dedup_first(rows, ["doc_id", "text"], ["sent_no"])
+    return segment.number(rows, ["doc_id"], ["sent_no"]).select("doc_id", "text", "n")
+
+
+@query(r"""select conv_id, turn, concat('conv:', conv_id, ':', turn) as uid, trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')) as text from conversations where length(trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g'))) >= 25""")
+def unit_conversations(spark, sf_dir):
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", F.lit("conv"), "conv_id", "turn").alias("uid"), tx.clean(F.col("text")).alias("text"))
+    return segment.floor(rows)
+
+
+# --- markup ---------------------------------------------------------------------------------------------
+
+HTML_SQL = r"""
+b as (
+  select page_id, unnest(range(0, len(f))) as pos, unnest(f) as raw
+  from (select page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<(?:h[1-5]|p|li)(?: [^>]*)?>[^<]*') as f from pages)),
+h as (select page_id, pos::int as pos, regexp_extract(raw, '^<(h[1-5]|p|li)', 1) as tag, trim(regexp_replace(regexp_replace(raw, '^<[^>]*>', ''), '[\s\x{00A0}]+', ' ', 'g')) as text from b)"""
+
+
+@query(f"with {HTML_SQL} select page_id, pos, tag, text, last_value(case when tag like 'h%' then text end ignore nulls) over (partition by page_id order by pos rows unbounded preceding) as title from h")
+def html_section_fill(spark, sf_dir):
+    return html.section_fill(t(spark, sf_dir, "pages"))
+
+
+@query(f"with {HTML_SQL} select tag, count(*) as n from h group by 1")
+def html_block_counts(spark, sf_dir):
+    return html.section_fill(t(spark, sf_dir, "pages")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+MARKDOWN = "# Threat Model\n\nIntroductory prose that is long enough to stay here.\n\n## 3.2 API Key Handling\n\n- Keys are short lived.\n- Keys are rotated daily.\n\n```\ncode is dropped entirely here\n```\n\n| a | b |\n|---|---|\n\n> A quoted paragraph that goes on\n> over two lines of text.\n\nToo short.\n\n### Deep\n\nThis paragraph shall be kept. It has **two** sentences in it.\n\n## Other\n\nA [link](http://x) to *somewhere* else in the text.\n"
+MARKDOWN_ROWS = [
+    ("threat-model", "Introductory prose that is long enough to stay here."), ("threat-model/32-api-key-handling", "Keys are short lived."), ("threat-model/32-api-key-handling", "Keys are rotated daily."),
+    ("threat-model/32-api-key-handling", "A quoted paragraph that goes on over two lines of text."), ("threat-model/32-api-key-handling/deep", "This paragraph shall be kept."),
+    ("threat-model/32-api-key-handling/deep", "It has two sentences in it."), ("threat-model/other", "A link to somewhere else in the text."),
+]
+
+
+@query(f"select * from {rows_sql(MARKDOWN_ROWS, 'section, text')}")
+def markdown_units(spark, sf_dir):
+    return markdown.markdown(values(spark, [("docs/threat.md", MARKDOWN)], "path string, content string"), "Threat Model").select("section", "text")
+
+
+# --- scalar functions --------------------------------------------------------------------------------------
+
+WORDS = [("DiagnosticReport",), ("FamilyMemberHistory",), ("R4",), ("r4b",), ("a.b",), ("-",), ("modality",), ("pixel_data",), ("SOPInstanceUID",), ("re-use",), ("HTTPServer",)]
+
+
+@query(rf"""select w, case when w ~ '[._/0-9]' or not w ~ '[a-zA-Z]' then null when w ~ '[a-z][A-Z]|[A-Z][A-Z][a-z]'
+then lower(regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z])([A-Z])', '\1 \2', 'g')) else lower(w) end as head,
+lower(trim(regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) as key_compat,
+lower(trim(regexp_replace(regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) as key
+from {rows_sql(WORDS, 'w')}""")
+def norm_words(spark, sf_dir):
+    w = F.col("w")
+    return values(spark, WORDS, "w string").select("w", tx.head(w).alias("head"), tx.lexicon_key(w, True).alias("key_compat"), tx.lexicon_key(w).alias("key"))
+
+
+@query()
+def norm_parts(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("slug"), tx.lexicon_key(F.lower("p_type")).alias("type_key"), tx.toml_string(F.col("p_name")).alias("toml"))
+
+
+ORACLE["norm_parts"] = r"""select p_partkey, array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+')[1:5], '-') as slug,
+lower(trim(regexp_replace(p_type, '[^A-Za-z0-9]+', ' ', 'g'))) as type_key, concat('"', p_name, '"') as toml from part"""
+
+# --- triage ------------------------------------------------------------------------------------------------
+
+
+def any_of(column: str, terms_) -> str:
+    return f"list_has_any({column}, [{', '.join(map(literal, terms_))}])"
+
+
+def pattern(terms_) -> str:
+    return r"\b(" + "|".join(sorted(terms_, key=lambda x: (-len(x), x))) + r")\b"
+
+
+def triage_sql(source: str, keep: str) -> str:
+    return rf"""
+tok as (select *, list_filter(string_split_regex(lower(text), '[^a-z'']+'), lambda x: x <> '') as w, lower(text) as low from {source}),
+sig as (
+  select {keep}, text,
+    (case when {any_of('w', triage.OBLIGATION)}::int + {any_of('w', triage.RECOMMENDATION)}::int + {any_of('w', triage.PERMISSION)}::int >= 2 then 3.0 when {any_of('w', triage.RECOMMENDATION)} then 1.2 else 0 end)::double as modal,
+    least(len(regexp_extract_all(low, '{pattern(triage.VAGUE)}')), 4)::double as vague,
+    (case when low ~ '.*\band\b.*' and low ~ '.*\bor\b.*' then 2.5 else 0 end)::double as coordination,
+    (case when regexp_matches(low, '\b(is|are|was|were|be|been|being)\s+\w+ed\b') and not regexp_matches(low, '\bby\b') then 2.0 else 0 end)::double as passive,
+    (case when regexp_matches(low, '{pattern(triage.PHRASES)}') then 1.5 else 0 end)::double as anaphora
+  from tok)""".replace("low ~ '.*\\band\\b.*'", "regexp_matches(low, '\\band\\b')").replace("low ~ '.*\\bor\\b.*'", "regexp_matches(low, '\\bor\\b')")
+
+
+TRIAGE_SQL = f"with {C1_SQL}, {triage_sql('c1', 'uid, spec, section')}"
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    return triage.score(c1(spark, sf_dir))
+
+
+@query(f"{TRIAGE_SQL} select uid, modal from sig")
+def triage_modal(spark, sf_dir):
+    return scored(spark, sf_dir).select("uid", F.col("modal_inconsistency_points").alias("modal"))
+
+
+@query(f"{TRIAGE_SQL} select uid, vague from sig")
+def triage_vague(spark, sf_dir):
+    return scored(spark, sf_dir).select("uid", F.col("vague_points").alias("vague"))
+
+
+@query(f"{TRIAGE_SQL} select uid, coordination from sig")
+def triage_coordination(spark, sf_dir):
+    return scored(spark, sf_dir).select("uid", F.col("coordination_points").alias("coordination"))
+
+
+@query(f"{TRIAGE_SQL} select uid, passive from sig")
+def triage_passive(spark, sf_dir):
+    return scored(spark, sf_dir).select("uid", F.col("passive_no_actor_points").alias("passive"))
+
+
+@query(f"{TRIAGE_SQL} select uid, anaphora from sig")
+def triage_anaphora(spark, sf_dir):
+    return scored(spark, sf_dir).select("uid", F.col("anaphora_points").alias("anaphora"))
+
+
+@query(f"{TRIAGE_SQL} select uid, text, round(modal + vague + coordination + passive + anaphora, 3) as score, (modal > 0)::int + (vague > 0)::int + (coordination > 0)::int + (passive > 0)::int + (anaphora > 0)::int as n_signals from sig")
+def triage_score(spark, sf_dir):
+    return scored(spark, sf_dir).select("uid", "text", F.round("score", 3).alias("score"), F.size("signals").alias("n_signals"))
+
+
+@query(f"{TRIAGE_SQL} select uid, text, round(modal + vague + coordination + passive + anaphora, 3) as score from sig order by score desc, uid limit 200")
+def triage_topk(spark, sf_dir):
+    return triage.top(scored(spark, sf_dir).select("uid", "text", F.round("score", 3).alias("score")), 200)
+
+
+@query(f"{TRIAGE_SQL} select uid, round(modal + vague + coordination + passive + anaphora, 3) as score from (select * from sig order by uid limit 500)")
+def triage_limit_head(spark, sf_dir):
+    return triage.score(c1(spark, sf_dir).orderBy("uid").limit(500)).select("uid", F.round("score", 3).alias("score"))
+
+
+@query(f"{TRIAGE_SQL} select name, points, count(*) as n from (unpivot (select uid, modal as modal_inconsistency, vague, coordination, passive as passive_no_actor, anaphora from sig) on modal_inconsistency, vague, coordination, passive_no_actor, anaphora into name name value points) where points > 0 group by all")
+def triage_signal_histogram(spark, sf_dir):
+    rows = scored(spark, sf_dir).select(F.explode("signals").alias("s"))
+    return rows.groupBy(F.col("s.name").alias("name"), F.col("s.points").alias("points")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {SENTENCES_SQL}, en as (select s.* from s join documents d using (doc_id) where d.lang = 'en'), {triage_sql('en', 'doc_id, sent_no')} select doc_id, sent_no::int as sent_no, round(modal + vague + coordination + passive + anaphora, 3) as score from sig")
+def triage_documents(spark, sf_dir):
+    rows = segment.explode_sentences(t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"))
+    return triage.score(rows).select("doc_id", "sent_no", F.round("score", 3).alias("score"))
+
+
+# --- disagreement ----------------------------------------------------------------------------------------------
+
+PP_SQL = f"{C2_SQL}, pl as (select uid, off, list_sort(list(distinct lower(head))) as heads, count(distinct parser) as n from c2 group by all having count(distinct parser) >= 2 and count(distinct lower(head)) >= 2)"
+COORD_SQL = f"""{C3_SQL},
+cs as (select *, list_sort(list_distinct(list_transform(s, lambda x: lower(x)))) as h from c3 where len(s) >= 2),
+cg as (select uid, off, list_distinct(list(h)) as sets from cs where len(h) >= 2 group by uid, off having count(distinct parser) >= 2 and count(distinct h) >= 2),
+ch as (select uid, off, len(sets) as n_sets, unnest(list_distinct(flatten(sets))) as x, sets from cg),
+cl as (select uid, off, n_sets, list_sort(list(x) filter (where len(list_filter(sets, lambda q: list_contains(q, x))) < n_sets)) as heads from ch group by uid, off, n_sets)"""
+
+
+@query(f"with {PP_SQL} select uid, off, array_to_string(heads, '|') as heads, (len(heads) - 1)::double as weight from pl")
+def pp_loci(spark, sf_dir):
+    return oracle.pp_loci(c2(spark, sf_dir), tx.head(F.col("head")), PARSERS).select("uid", "off", F.array_join("heads", "|").alias("heads"), "weight")
+
+
+@query(f"with {PP_SQL} select c2.uid, c2.off, concat('of@', c2.off) as locus, c2.parser, c2.head as resolution, lower(c2.head) as signature from c2 join pl using (uid, off)")
+def pp_readings(spark, sf_dir):
+    loci = oracle.pp_loci(c2(spark, sf_dir), tx.head(F.col("head")), PARSERS)
+    return loci.select("uid", "off", "locus", F.inline("readings"))
+
+
+@query(f"with {COORD_SQL} select uid, off, array_to_string(heads, '|') as heads, round(1.3 * (n_sets - 1), 3)::double as weight from cl")
+def coord_loci(spark, sf_dir):
+    return oracle.coord_loci(c3(spark, sf_dir), tx.head, PARSERS).select("uid", "off", F.array_join("heads", "|").alias("heads"), F.round("weight", 3).alias("weight"))
+
+
+@query(f"with {COORD_SQL} select uid, off, heads[1] as head from cl where len(heads) = 1")
+def coord_none_edge(spark, sf_dir):
+    return oracle.coord_loci(c3(spark, sf_dir), tx.head, PARSERS).where("size(heads) = 1").select("uid", "off", F.col("heads")[0].alias("head"))
+
+
+SIM_SQL = f"""{TERMS_SQL},
+sim as (select a.norm as a, b.norm as b, max((x.concept_id = y.concept_id)::int)::double as sim from (select distinct norm from terms) a join (select distinct norm from terms) b on a.norm < b.norm
+  join known x on x.norm = a.norm join known y on y.norm = b.norm group by all)"""
+JUDGED_SQL = f"""{PP_SQL}, {COORD_SQL}, {SIM_SQL},
+loci as (select uid, off, 'pp-attach' as kind, heads, 1.0 * (len(heads) - 1) as weight from pl union all select uid, off, 'coord-scope', heads, 1.3 * (n_sets - 1) from cl),
+pairs as (select l.uid, l.off, l.kind, x.a, y.b from loci l, unnest(l.heads) as x(a), unnest(l.heads) as y(b) where x.a < y.b),
+best as (select uid, off, kind, max(sim) as best from pairs left join sim using (a, b) group by all),
+judged as (
+  select l.*, case when len(heads) < 2 then 'none' when best is null then 'undetermined' when best >= 0.5 then 'innocuous' else 'nocuous' end as verdict,
+    (case when len(heads) >= 2 and best is not null then 1 - best else 0 end)::double as distance
+  from loci l left join best using (uid, off, kind)),
+us as (
+  select uid, round(sum(weight * case verdict when 'nocuous' then 1.0 when 'undetermined' then 0.3 else 0 end), 3)::double as disagreement_score, count(*)::bigint as n_loci,
+    count(*) filter (where verdict = 'nocuous')::bigint as n_nocuous_loci, max(distance) as semantic_distance,
+    ['none', 'innocuous', 'undetermined', 'nocuous'][max(case verdict when 'nocuous' then 4 when 'undetermined' then 3 when 'innocuous' then 2 else 1 end)] as verdict
+  from judged group by uid)"""
+
+
+def judged(spark, sf_dir) -> DataFrame:
+    loci = oracle.pp_loci(c2(spark, sf_dir), tx.head(F.col("head")), PARSERS).unionByName(oracle.coord_loci(c3(spark, sf_dir), tx.head, PARSERS))
+    pairs = oracle.head_pairs(loci).select("a", "b")
+    return oracle.verdicts(loci, similarity.concept_similarity(pairs, similarity.concepts(terms(spark, sf_dir))))
+
+
+@query(f"with {JUDGED_SQL} select uid, off, kind, verdict, distance from judged")
+def locus_verdict(spark, sf_dir):
+    return judged(spark, sf_dir).select("uid", "off", "kind", "verdict", "distance")
+
+
+@query(f"with {JUDGED_SQL} select * from us")
+def unit_verdict(spark, sf_dir):
+    return oracle.unit_scores(judged(spark, sf_dir)).select("uid", "disagreement_score", "n_loci", "n_nocuous_loci", "semantic_distance", "verdict")
+
+
+@query(f"with {JUDGED_SQL} select verdict, count(*) as n, sum(n_loci)::bigint as loci, round(sum(disagreement_score), 1) as score from us group by 1")
+def verdict_histogram(spark, sf_dir):
+    rows = oracle.unit_scores(judged(spark, sf_dir))
+    return rows.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_loci").alias("loci"), F.round(F.sum("disagreement_score"), 1).alias("score"))
+
+
+# --- similarity --------------------------------------------------------------------------------------------------
+
+
+def word_pairs(spark, sf_dir) -> DataFrame:
+    loci = oracle.pp_loci(c2(spark, sf_dir), tx.head(F.col("head")), PARSERS)
+    return oracle.head_pairs(loci).select("a", "b").distinct()
+
+
+PAIRS_SQL = f"{PP_SQL}, wp as (select distinct x.a, y.b from pl, unnest(heads) as x(a), unnest(heads) as y(b) where x.a < y.b)"
+
+
+@query(f"with {PAIRS_SQL}, {SIM_SQL} select wp.a, wp.b, sim.sim from wp left join sim using (a, b)")
+def concept_set_similarity(spark, sf_dir):
+    return similarity.concept_similarity(word_pairs(spark, sf_dir), similarity.concepts(terms(spark, sf_dir)))
+
+
+@query(f"with {PAIRS_SQL}, {SIM_SQL} select wp.a, wp.b, case when left(wp.a, 1) = left(wp.b, 1) then 1.0 else sim.sim end::double as sim from wp left join sim using (a, b)")
+def lexicon_chain(spark, sf_dir):
+    known = similarity.concepts(terms(spark, sf_dir))
+    same = lambda p: p.select("a", "b", F.when(F.substring("a", 1, 1) == F.substring("b", 1, 1), 1.0).alias("sim"))
+    return similarity.chain(word_pairs(spark, sf_dir), same, lambda p: similarity.concept_similarity(p, known))
+
+
+SYN = [("dog", 1, "s1"), ("cat", 1, "s2"), ("car", 1, "s3"), ("auto", 1, "s3"), ("bus", 1, "s4"), ("idea", 1, "s9"), ("dog", 7, "s3")]
+HYPER = [("s1", "s5"), ("s2", "s5"), ("s3", "s6"), ("s4", "s6"), ("s5", "s7"), ("s6", "s7")]
+TAX_PAIRS = [("car", "dog"), ("auto", "car"), ("bus", "car"), ("cat", "dog"), ("dog", "idea"), ("dog", "zebra"), ("cat", "cat")]
+
+
+@query(f"""with recursive syn as (select * from {rows_sql(SYN, 'lemma, rank, id')}), s as (select * from syn where rank <= 6), hy as (select * from {rows_sql(HYPER, 'child, parent')}), p as (select * from {rows_sql(TAX_PAIRS, 'a, b')}),
+up as (select distinct id, id as top, 0 as d from s union all select up.id, hy.parent, up.d + 1 from up join hy on hy.child = up.top where up.d < 20),
+near as (select p.a, p.b, min(ua.d + ub.d) as steps from p join s sa on sa.lemma = p.a join s sb on sb.lemma = p.b join up ua on ua.id = sa.id join up ub on ub.id = sb.id and ub.top = ua.top group by all)
+select p.a, p.b, (case when p.a = p.b then 1.0 when p.a in (select lemma from syn) and p.b in (select lemma from syn) then coalesce(1.0::double / (1 + steps), 0) end)::double as sim from p left join near using (a, b)""")
+def path_similarity(spark, sf_dir):
+    syn, hyper, pairs = values(spark, SYN, "lemma string, rank int, id string"), values(spark, HYPER, "child string, parent string"), values(spark, TAX_PAIRS, "a string, b string")
+    return similarity.path_similarity(pairs, syn, hyper)
+
+
+CUI = [("heart", "C1"), ("cardia", "C1"), ("flu", "C2"), ("influenza", "C2"), ("bolt", "C3"), ("widget", "C4")]
+STY = [("C1", "T023"), ("C2", "T047"), ("C2", "T999"), ("C3", "T999"), ("C4", "T073")]
+
+
+@query(f"select distinct norm, cui from {rows_sql(CUI, 'norm, cui')} join {rows_sql(STY, 'cui2, tui').replace(' v(', ' w(')} on cui = cui2 where tui in ('T023', 'T047', 'T073') and length(norm) >= 4")
+def umls_join(spark, sf_dir):
+    return similarity.join_concepts(values(spark, CUI, "norm string, cui string"), values(spark, STY, "cui string, tui string"), ["T023", "T047", "T073"])
+
+
+# --- findings ------------------------------------------------------------------------------------------------------
+
+FINDINGS = [("prefix", "PS3.5 3", 0), ("prefix", "PS3.5 4.2", 1), ("prefix", "PS3.7 5.1.2", 2), ("keyword", "truncated", 3), ("keyword", "omitted", 4)]
+FIND_SQL = f"f as (select kind, value, ord, string_split(value, ' ')[1] as label, string_split(value, ' ')[2] as rest from {rows_sql(FINDINGS, 'kind, value, ord')})"
+MATCH_SQL = f"""{FIND_SQL},
+cand as (
+  select uid, case when section = rest then 0 when len(string_split(rest, '.')) >= 3 then 1 else 2 end as cls, ord, 'anchor:' || value as tag, section = rest or len(string_split(rest, '.')) >= 3 as precise
+  from c1 join f on kind = 'prefix' and spec = label and (section = rest or starts_with(section, rest || '.'))
+  union all select uid, 3, ord, 'kw:' || value, true from c1 join f on kind = 'keyword' and contains(lower(text), lower(value))),
+m as (select uid, arg_min(tag, cls * 1000 + ord) as match_tag, arg_min(precise, cls * 1000 + ord) as precise from cand group by uid)"""
+
+
+def c1_units(spark, sf_dir) -> DataFrame:
+    rows = c1(spark, sf_dir)
+    return rows.select("uid", "spec", "section", F.lit("").alias("section_title"), F.lit(None).cast("string").alias("subref"), F.concat_ws(" ", "spec", "section").alias("anchor"), "text")
+
+
+def c1_matched(spark, sf_dir) -> DataFrame:
+    return matchers.dicom(c1_units(spark, sf_dir), values(spark, FINDINGS, "kind string, value string, ord int"))
+
+
+@query(f"with {C1_SQL}, {MATCH_SQL} select uid, match_tag, coalesce(precise, false) as precise from c1 left join m using (uid)")
+def match_dicom(spark, sf_dir):
+    return c1_matched(spark, sf_dir).select("uid", "match_tag", "precise")
+
+
+FHIR = [("section", "3.2", 0), ("section", "4.1.2.7", 1), ("concept", "value", 2), ("concept", "sender", 3)]
+
+
+@query(f"""with {C1_SQL}, f as (select * from {rows_sql(FHIR, 'kind, value, ord')}),
+cand as (
+  select uid, 0 as cls, ord, 'sect:' || value as tag, true as precise from c1 join f on kind = 'section' and section = value
+  union all select uid, 1, ord, 'sect>:' || value, len(string_split(value, '.')) >= 4 from c1 join f on kind = 'section' and starts_with(section, value || '.')
+  union all select uid, 2, ord, 'sect<:' || value, false from c1 join f on kind = 'section' and starts_with(value, section || '.')
+  union all select uid, 5, ord, 'concept~:' || lower(value), false from c1 join f on kind = 'concept' and length(value) > 4 and contains(lower(text), lower(value))),
+m as (select uid, arg_min(tag, cls * 1000 + ord) as match_tag, arg_min(precise, cls * 1000 + ord) as precise from cand group by uid)
+select uid, match_tag, coalesce(precise, false) as precise from c1 left join m using (uid)""")
+def match_fhir(spark, sf_dir):
+    return matchers.fhir(c1_units(spark, sf_dir), values(spark, FHIR, "kind string, value string, ord int")).select("uid", "match_tag", "precise")
+
+
+CITES = [("PS3.5 §T6.2-1",), ("PS3.5 Annex A.4",), ("PS3.6 7",), ("PS3.5 Note 3",), ("PS3.7 9.3.1",)]
+
+
+@query("select * from (values ('PS3.5 §T6.2-1', 'PS3.5 Table 6.2-1'), ('PS3.5 Annex A.4', 'PS3.5 A.4'), ('PS3.6 7', null), ('PS3.5 Note 3', null), ('PS3.7 9.3.1', 'PS3.7 9.3.1')) as v(cite, prefix)")
+def findings_prefixes(spark, sf_dir):
+    return values(spark, CITES, "cite string").select("cite", lexicons.dicom_prefix(F.col("cite")).alias("prefix"))
+
+
+# --- output -----------------------------------------------------------------------------------------------------------
+
+OUT_SQL = f"""with {C1_SQL}, {triage_sql('c1', 'uid, spec, section')}, {MATCH_SQL}, {JUDGED_SQL},
+o as (
+  select sig.uid, sig.spec, sig.section, sig.text, round(modal + vague + coordination + passive + anaphora, 3) as triage_score, disagreement_score, us.verdict, n_loci, n_nocuous_loci, semantic_distance,
+    coalesce(match_tag, '') as overlap, case when match_tag is null then '' when precise then 'yes' else 'broad' end as overlap_precise
+  from sig left join m using (uid) left join us using (uid)),
+r as (
+  select *, row_number() over (order by (overlap_precise = 'yes')::int desc, (verdict is not null)::int desc,
+    coalesce(case verdict when 'nocuous' then 3 when 'undetermined' then 2 when 'innocuous' then 1 when 'none' then 0 end, -1) desc,
+    coalesce(n_nocuous_loci, 0) desc, coalesce(disagreement_score, 0) desc, case when verdict is not null then 0 else triage_score end desc, uid)::int as rank from o)"""
+
+
+def rows_out(spark, sf_dir) -> DataFrame:
+    units = c1_units(spark, sf_dir)
+    return rank.output_rows(units, triage.score(units), oracle.unit_scores(judged(spark, sf_dir)), c1_matched(spark, sf_dir))
+
+
+OUT = ["uid", "triage_score", "disagreement_score", "verdict", "n_loci", "n_nocuous_loci", "semantic_distance", "overlap", "overlap_precise"]
+
+
+@query(f"{OUT_SQL} select {', '.join(OUT)} from o")
+def output_rows(spark, sf_dir):
+    return rows_out(spark, sf_dir).select(*OUT)
+
+
+@query(f"{OUT_SQL} select uid, rank, verdict, overlap_precise from r where rank <= 500")
+def output_ranked(spark, sf_dir):
+    return rank.top_ranked(rows_out(spark, sf_dir), 500).select("uid", "rank", "verdict", "overlap_precise")
+
+
+@query(f"{OUT_SQL} select uid, overlap, overlap_precise from o where overlap <> ''")
+def overlap_rows(spark, sf_dir):
+    return rank.overlaps(rows_out(spark, sf_dir)).select("uid", "overlap", "overlap_precise")
+
+
+@query(f"{OUT_SQL} select uid, text from o where spec = 'PS3.5' and contains(lower(text), 'truncated') order by uid limit 50")
+def view_filter(spark, sf_dir):
+    return rank.view(rows_out(spark, sf_dir), "PS3.5", "Truncated").select("uid", "text")
+
+
+@query(f"""{OUT_SQL}, c as (select * from r where verdict = 'nocuous' order by rank limit 50),
+n as (select *, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:5], '-') as slug from c),
+k as (select *, concat('demo_', replace(section, '.', '_'), '_', slug) as base from n)
+select uid, concat('demo/', section, '-', slug) as case_id, concat(base, repeat('_', (row_number() over (partition by base order by rank) - 1)::int), '.toml') as file from k""")
+def scaffold_ids(spark, sf_dir):
+    return scaffold.with_ids(scaffold.picked(rows_out(spark, sf_dir)), "demo").select("uid", "case_id", "file")
+
+
+@query()
+def scaffold_files(spark, sf_dir):
+    return scaffold.rendered(scaffold.picked(rows_out(spark, sf_dir)), "demo")
+
+
+# --- lexicons and parsers ---------------------------------------------------------------------------------------------
+
+
+@query("select norm, concept_id, term from (select lower(p_type) as norm, p_brand as concept_id, p_name as term, row_number() over (partition by lower(p_type), p_brand order by p_partkey) as k from part) where k = 1")
+def lexicon_dedup_first(spark, sf_dir):
+    rows = t(spark, sf_dir, "part").select(F.lower("p_type").alias("norm"), F.col("p_brand").alias("concept_id"), F.col("p_name").alias("term"), "p_partkey")
+    return lexicons.dedup(rows, ["p_partkey"]).select("norm", "concept_id", "term")
+
+
+@query("select p_brand as kind, count(*) as n from part group by 1")
+def lexicon_kind_counts(spark, sf_dir):
+    return lexicons.kinds(t(spark, sf_dir, "part").select(F.col("p_brand").alias("kind")))
+
+
+@query()
+def parser_readings_rule(spark, sf_dir):
+    pp, coord = parsers.all_rules(c1(spark, sf_dir).select(F.col("uid").cast("string").alias("uid"), "text"))
+    return oracle.pp_loci(pp, tx.head(F.col("head")), PARSERS).unionByName(oracle.coord_loci(coord, tx.head, PARSERS)).select("uid", "off", "kind", "weight", "locus", F.array_join("heads", "|").alias("heads"))
