@@ -77,8 +77,6 @@ class Walker(HTMLParser):
             for node in self.open:
                 if node["block"] is not None:
                     node["block"]["parts"].append(data)
-                elif node["tag"] == "div" and any(n["tag"] in HEADINGS for n in self.open):
-                    node.setdefault("title_parts", [])
 
 
 def walk(path: str, html: str, main_id: str | None) -> Iterator[tuple]:
