@@ -11,7 +11,7 @@ weights are fitted on labelled rows that are not held out (crc32 of doc_id as te
 between toxic and other rows stand out most.  Nothing but the text enters a score.
 
 Nulls and edge cases: a null text is empty and gets the score of a text without lexicon words; with no
-usable labels every score is 0.5 times the smoothed base rate's; labels with a null id or a null mark
+usable labels every score is the smoothed base rate (one half); labels with a null id or a null mark
 are left out; a doc_id with several labels counts as toxic if one says so; repeated rows are scored
 each; null doc_ids are not held out; an empty table gives an empty result; other columns are ignored.
 """
