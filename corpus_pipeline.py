@@ -8,31 +8,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from equivox.llm import decontaminate, mixing, sharding, simhash, toxicity
-from equivox.llm.session import cut, table
+from equivox.llm.session import table, written
+from equivox.plans.shipping import ship
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
+    ship(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    ship(spark)
     return simhash.drop_near_copies(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    ship(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture draws them."""
+    ship(spark)
     return mixing.mix(docs, shuffle=False).drop("mix_shard")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shards."""
+    ship(spark)
     return sharding.shard(docs)
 
 
@@ -46,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = written(docs)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +17,22 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the one of ``spark.checkpoint.dir``; only where that is unset (tests) is one made.
     """
-    spark = df.sparkSession
+    shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder for checkpoints, set if it was not."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written as Parquet beside the checkpoints and read again, so that later steps
+    read the columns they need."""
+    path = f"{shared(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -152,12 +152,13 @@ def op6(spark, sf_dir: str) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group stays: that of the smallest doc_id (of repeated doc_ids the one whose
     columns, as text, come first; rows equal in all columns are one row)."""
-    groups = near_groups(docs)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("kept_id"))
-    twice = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    once = kept.join(repeated, twice, "left_anti")
-    first = F.min_by(F.struct(*kept.columns), F.to_json(F.struct(*kept.columns)))
-    thinned = kept.join(repeated, twice, "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
-    return once.unionByName(thinned)
+    of_id = near_groups(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
+    keep = cut(of_id.where("first").select(F.col("doc_id").alias("kept_id"), "n"))
+    here = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    once = docs.join(keep.where("n = 1"), here, "left_semi")
+    repeated = keep.where("n > 1")
+    if repeated.isEmpty():
+        return once
+    rows = docs.join(repeated, here, "left_semi")
+    first = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns)))
+    return once.unionByName(rows.groupBy("doc_id").agg(first.alias("row")).select("row.*"))
