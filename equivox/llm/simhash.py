@@ -32,6 +32,11 @@ from equivox.llm.session import cut
 PIECE = 1 << 18  # shingles counted at once, so that a huge text needs little memory
 
 
+def node_of() -> F.Column:
+    """The number a text goes by; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
@@ -149,16 +154,20 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group stays: that of the smallest doc_id (of repeated doc_ids the one whose
-    columns, as text, come first; rows equal in all columns are one row)."""
-    of_id = near_groups(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
-    keep = cut(of_id.where("first").select(F.col("doc_id").alias("kept_id"), "n"))
-    here = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    once = docs.join(keep.where("n = 1"), here, "left_semi")
+def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component of texts stays: that of the smallest doc_id, nulls last (of equal ones
+    the row whose columns hash lowest; rows equal in all columns are one row).  Rows are thinned by
+    their text alone, so rows that only share a doc_id, or have none, all stay."""
+    groups = near_groups(docs.select(node_of().alias("doc_id"), "text"), words, radius)
+    roots = groups.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    row = F.md5(F.to_json(F.struct(*docs.columns)))
+    per_row = docs.select(node_of().alias("node"), F.col("doc_id").isNull().alias("last"), "doc_id", row.alias("row")).groupBy("node", "last", "doc_id", "row").agg(F.count("*").alias("n"))
+    first = F.min(F.struct("last", "doc_id", "row", "n")).alias("first")
+    per_text = per_row.groupBy("node").agg(first).join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first.*")
+    keep = cut(per_text.groupBy("root").agg(first).select(F.col("first.row").alias("kept_row"), "first.n"))
+    once = docs.join(keep.where("n = 1"), row == F.col("kept_row"), "left_semi")
     repeated = keep.where("n > 1")
     if repeated.isEmpty():
         return once
-    rows = docs.join(repeated, here, "left_semi")
-    first = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns)))
-    return once.unionByName(rows.groupBy("doc_id").agg(first.alias("row")).select("row.*"))
+    rows = docs.withColumn("_row", row).join(repeated, F.col("_row") == F.col("kept_row"), "left_semi")
+    return once.unionByName(rows.dropDuplicates(["_row"]).drop("_row"))

@@ -331,3 +331,12 @@ def test_secrets(spark, none):
     got = {(r.doc_id, r.candidate): r.is_secret for r in secrets_forest.scan(frame(spark, rows)).collect()}
     assert got == {(1, key): True, (2, sha): False, (None, key): True}
     assert secrets_forest.scan(none).count() == 0
+
+
+def test_near_copies_thin_rows_not_ids(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (5, c, "s"), (5, d, "s"), (4, c, "s")]
+    got = simhash.drop_near_copies(frame(spark, rows))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(None, a), (None, b), (4, c), (5, d)])
