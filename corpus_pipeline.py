@@ -19,9 +19,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (0.8 of the shingles of five words) stays."""
     ship(spark)
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ share a key meet in one partition, their Hamming distances are verified there wi
 spanning forest of each key's links leaves it: the number of rows stays linear in the group's size
 and no link between different texts is lost for connectivity.
 
+``near_texts`` links texts by the exact similarity of their sets of shingles instead: at a similarity of 0.8
+fingerprints differ in about 10 bits of 64, often in 16, and no choice of blocks both holds that radius and
+makes keys long enough to join on.
+
 Nulls and edge cases: a null text counts as empty; a text without words has fingerprint zero and
 links like any other; repeated rows stay; a null doc_id is kept and never names a component unless
 the whole component has none; an empty table gives an empty result; other columns are ignored.
@@ -23,12 +27,16 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equivox.llm.components import components
 from equivox.llm.session import cut
 
+SAMPLE = 5_000  # texts looked at to learn which shingles are common
+COMMON = 100_000  # of these so many at most are known by count
+SMALL = 32  # groups of so many texts are compared pair by pair
+CENTRES = 4  # of larger groups so many texts are compared with all others in the first round
 PIECE = 1 << 18  # shingles counted at once, so that a huge text needs little memory
 
 
@@ -147,6 +155,98 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of the runs of words, sorted; a shorter text is one run."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    runs = zip(*(tokens[k:] for k in range(words)), strict=False) if len(tokens) >= words else [tokens] if tokens else []
+    return np.unique(np.array([digest(b" ".join(run), 42) for run in runs], dtype=np.uint64).view(np.int64))
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """texts(node, text) -> (node, hs)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "hs": [shingle_set(t, words) for t in batch["text"]]})
+
+    return texts.mapInPandas(run, "node long, hs array<long>")
+
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and how many have them; they only set the
+    order of search, so what the sample misses costs time and loses nothing."""
+    every = max(1, -(-texts.count() // SAMPLE))
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).dropDuplicates(["node"])
+    counts = shingle_sets(some, words).select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    got = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
+    return got["h"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """texts(node, text) -> (key, node, n), distinct: the rarest shingles of each text, n - ceil(similarity * n) + 1
+    of its n in an order that all texts share.  Two texts of that similarity have one of these in common."""
+    hs, ns = common_shingles(texts, words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, sizes = [], []
+            for text in batch["text"]:
+                own = shingle_set(text, words)
+                at = np.minimum(np.searchsorted(hs, own), max(len(hs) - 1, 0))
+                often = np.where(hs[at] == own, ns[at], 0) if len(hs) else np.zeros(len(own), np.int64)
+                keys.append(own[np.lexsort((own, often))[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]])
+                sizes.append(len(own))
+            yield pd.DataFrame({"node": batch["node"], "n": sizes, "keys": keys})
+
+    out = texts.mapInPandas(run, "node long, n int, keys array<long>")
+    # texts without words have no shingle and are equal to each other
+    keys = F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("keys"))
+    return out.select(F.explode(keys).alias("key"), "node", "n").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have the similarity."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = cut(shingle_sets(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), words))
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("hs").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("hs").alias("a")), "u")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+
+
+def near_texts(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """docs(text, ...) -> (node, root) for the texts that have a near copy.
+
+    Texts that share a key and are not connected yet are compared: all pairs of small groups; of a large one
+    the first few texts with all others, then the next ones, twice as many each round, until the group is
+    connected or used up.  So no link is lost for connectivity, and a large group of near copies
+    costs a few rows for each text."""
+    texts = docs.select(node_of().alias("node"), F.col("text").cast("string").alias("text"))
+    key = Window.partitionBy("key")
+    left = prefixes(texts, words, similarity).withColumn("g", F.count("*").over(key)).where("g > 1").drop("g")
+    left, found, labels, centres = cut(left), None, None, CENTRES
+    while True:
+        named = left.withColumn("root", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = named.withColumns({"g": F.count("*").over(key), "least": F.min("root").over(key), "most": F.max("root").over(key), "k": F.row_number().over(key.orderBy("node"))})
+        open_ = cut(open_.where("least < most").drop("least", "most"))
+        if open_.isEmpty():
+            break
+        a = open_.where((F.col("g") <= SMALL) | (F.col("k") <= centres)).select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+        b = open_.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+        sized = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9
+        pairs = cut(a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & sized).select("u", "v").distinct())
+        good = verified(pairs, texts, words, similarity)
+        found = cut(good if found is None else found.union(good))
+        labels = components(found)
+        left = open_.where((F.col("g") > SMALL) & (F.col("k") > centres)).select("key", "node", "n")
+        if left.isEmpty():
+            break
+        centres *= 2
+    if labels is None:
+        return texts.limit(0).select("node", F.col("node").alias("root"))
+    return labels
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     from equivox.llm.session import table
 
@@ -154,12 +254,18 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """One row of each component of texts stays: that of the smallest doc_id, nulls last (of equal ones
     the row whose columns hash lowest; rows equal in all columns are one row).  Rows are thinned by
-    their text alone, so rows that only share a doc_id, or have none, all stay."""
-    groups = near_groups(docs.select(node_of().alias("doc_id"), "text"), words, radius)
-    roots = groups.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    their text alone, so rows that only share a doc_id, or have none, all stay.
+
+    Texts link by fingerprints within radius or, with a similarity, when the Jaccard similarity of their
+    sets of shingles reaches it."""
+    if similarity is None:
+        groups = near_groups(docs.select(node_of().alias("doc_id"), "text"), words, radius)
+        roots = groups.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    else:
+        roots = near_texts(docs, words, similarity)
     row = F.md5(F.to_json(F.struct(*docs.columns)))
     per_row = docs.select(node_of().alias("node"), F.col("doc_id").isNull().alias("last"), "doc_id", row.alias("row")).groupBy("node", "last", "doc_id", "row").agg(F.count("*").alias("n"))
     first = F.min(F.struct("last", "doc_id", "row", "n")).alias("first")

@@ -340,3 +340,32 @@ def test_near_copies_thin_rows_not_ids(spark):
     rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (5, c, "s"), (5, d, "s"), (4, c, "s")]
     got = simhash.drop_near_copies(frame(spark, rows))
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(None, a), (None, b), (4, c), (5, d)])
+
+
+def test_near_copies_of_the_stage(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.randint(4, 90))] for _ in range(25)]
+    texts = [" ".join(w) for w in base] + ["", "  ", "one two"]
+    for _ in range(120):  # near copies of near copies, around and below the similarity
+        w = rng.choice(texts[:25]).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    hot = [f"h{k}" for k in range(60)]
+    texts += [" ".join(hot[:-1] + [f"t{k}"]) for k in range(90)]
+    texts += [" ".join([f"c{k}" for k in range(12)] + [f"u{k}x{j}" for j in range(3)]) for k in range(50)]
+    rows = [(k if k % 3 else None, t, "s") for k, t in enumerate(texts)]
+    rows += [(1, "a text of its own with no like", "s"), (1, "and another text under that very id", "s"), rows[1]]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+    find = lambda k: k if parent[k] == k else find(parent[k])
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), 2**63), 2**63 if i is None else i)
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_copies(frame(spark, rows), words=5, similarity=0.8).collect()]
+    assert Counter(2**63 if i is None else i for i, _ in got) == Counter(least.values())
+    assert len({find([t for _, t, _ in rows].index(t)) for _, t in got}) == len(got)
