@@ -34,6 +34,7 @@ from equivox.llm.session import cut
 FIT_ROWS = 12_000
 LEXICON = 400
 CUTOFF = 0.3
+REMEMBERED = 200  # spellings of longer tokens are found anew each time, so that the table stays small
 
 # fixed values: what a character may stand for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y"}
@@ -95,12 +96,23 @@ def corpus_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def spelled(way: tuple) -> str:
+    parts = []
+    while way:
+        way, string = way
+        parts.append(string)
+    return "".join(reversed(parts))
+
+
 class Restorer:
     """Finds the plain spelling of disguised tokens; spellings are remembered in a bounded table."""
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
-        self.spell = lru_cache(maxsize=100_000)(self.viterbi)
+        self.short = lru_cache(maxsize=100_000)(self.viterbi)
+
+    def spell(self, token: str) -> str:
+        return self.short(token) if len(token) <= REMEMBERED else self.viterbi(token)
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each run of one character what it may stand for, with its price."""
@@ -122,7 +134,7 @@ class Restorer:
 
     def viterbi(self, token: str) -> str:
         model, code = self.model, CODE.get
-        best = {(0, 0): (0.0, "")}
+        best: dict = {(0, 0): (0.0, ())}  # with the way back: (way to the state before, string added)
         for options in self.lattice(token):
             reached: dict = {}
             for (a, b), (score, so_far) in best.items():
@@ -133,15 +145,17 @@ class Restorer:
                         total += model[x][y][z]
                         x, y = y, z
                     if (x, y) not in reached or total > reached[x, y][0]:
-                        reached[x, y] = (total, so_far + string)
+                        reached[x, y] = (total, (so_far, string))
             best = reached
-        return max((score + model[a][b][0], s) for (a, b), (score, s) in best.items())[1]
+        ends = [(score + model[a][b][0], way) for (a, b), (score, way) in best.items()]
+        top = max(score for score, _ in ends)
+        return max(spelled(way) for score, way in ends if score == top)
 
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
         low = text.lower()
         if SPACED.search(low):
-            low = SPACED.sub(lambda m: self.spell(m[0]) if len(m[0]) <= 200 else m[0], low)
+            low = SPACED.sub(lambda m: self.spell(m[0]), low)
         tokens = set(low.split())
         plain = {t for t in tokens if t.isalpha()}
         drawn = {t for t in plain if DRAWN.search(t)} if DRAWN.search(low) else set()
@@ -150,7 +164,7 @@ class Restorer:
             core = t.strip(MARKS)
             if core.isalpha() and t not in drawn and not (t[0] in "$@" and t[1:2] == core[:1]) and not DRAWN.search(core):
                 out.add(core)
-            elif any(c.isalpha() for c in core) and len(core) <= 200:
+            elif any(c.isalpha() for c in core):
                 front = t[0] if t[0] in "$@" and t[1:2].isalnum() else ""
                 out.update(w for w in re.findall(r"[^\W\d_]+", self.spell(front + core)))
                 out.update(re.findall(r"[^\W\d_]+", core))

@@ -369,3 +369,17 @@ def test_near_copies_of_the_stage(spark):
     got = [(r.doc_id, r.text) for r in simhash.drop_near_copies(frame(spark, rows), words=5, similarity=0.8).collect()]
     assert Counter(2**63 if i is None else i for i, _ in got) == Counter(least.values())
     assert len({find([t for _, t, _ in rows].index(t)) for _, t in got}) == len(got)
+
+
+def test_toxicity_restores_long_tokens():
+    words = "you are an idiot and the others are not".split()
+    rng = random.Random(8)
+    counts = np.zeros((toxicity.SIZE,) * 3)
+    np.add.at(counts.reshape(-1), toxicity.trigrams(" ".join(rng.choice(words) for _ in range(3000))), 1)
+    restorer = toxicity.Restorer(np.log((counts + 0.01) / (counts + 0.01).sum(2, keepdims=True)))
+    assert "idiot" in restorer.words("the idi" + "o" * 300 + "t")
+    assert {"idiot", "others"} <= restorer.words(".".join(["the", "others"] * 30 + ["idiot"] + ["and"] * 30))
+    assert "idiot" in restorer.words(".".join(["and"] * 60 + ["1d10t"]))
+    spaced = " ".join("".join(words * 5))
+    assert len(spaced) > 200 and "idiot" in " ".join(sorted(restorer.words(spaced)))
+    assert restorer.words(".".join(["a"] * 50_000)) is not None
