@@ -79,6 +79,11 @@ def html_section_fill(spark, sf_dir):
     return html.section_fill(t(spark, sf_dir, "pages"))
 
 
+@query()  # SQL can't follow nested markup; a test holds the blocks against brute force
+def html_blocks(spark, sf_dir):
+    return html.block_fill(t(spark, sf_dir, "pages"))
+
+
 @query(f"with {HTML_SQL} select tag, count(*) as n from h group by 1")
 def html_block_counts(spark, sf_dir):
     return html.section_fill(t(spark, sf_dir, "pages")).groupBy("tag").agg(F.count("*").alias("n"))

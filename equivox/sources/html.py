@@ -187,3 +187,23 @@ def section_fill(pages: DataFrame) -> DataFrame:
     b = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
     b = b.select("page_id", "pos", F.regexp_extract("raw", r"^<(h[1-5]|p|li)", 1).alias("tag"), clean(F.regexp_replace("raw", "^<[^>]*>", "")).alias("text"))
     return fill_forward(b, F.when(F.col("tag").startswith("h"), F.col("text")), ["page_id"], ["pos"], "title")
+
+
+def block_fill(pages: DataFrame) -> DataFrame:
+    """pages(page_id, html) -> (page_id, pos, tag, text, title): blocks of h1-h5, p and li that have text, each
+    with its whole text whatever is marked within, and the latest heading of its page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page_id, page in zip(batch["page_id"], batch["html"], strict=True):
+                title, pos = None, 0
+                for _, _, tag, *_, text in walk("", page, None):
+                    if tag == "h6" or not text:
+                        continue
+                    title = text if tag in HEADINGS else title
+                    rows.append((page_id, pos, tag, text, title))
+                    pos += 1
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "tag", "text", "title"]).astype({"page_id": "Int64"})
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(run, "page_id long, pos int, tag string, text string, title string")

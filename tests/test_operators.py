@@ -166,3 +166,26 @@ def test_stream(spark, tmp_path):
     tabular.write_units(src, str(tmp_path / "in"))
     st.write(st.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().score > 0
+
+
+def test_html_block_query_keeps_whole_blocks(spark):
+    import re
+    from html import unescape
+
+    from equivox.plans.catalogue import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    page = "<h2>One <em>marked</em> title</h2><p>Some <b>bold</b> and <a href='x'>linked</a> text.</p><ul><li><a href='y'>The</a></li><li></li></ul><h3><span>Next</span></h3><p>Line<br>break.</p>"
+    df = spark.createDataFrame([(1, page), (2, None), (None, "<p>No <i>head</i></p>")], "page_id long, html string")
+    assert sorted(map(tuple, html.block_fill(df).collect()), key=str) == sorted(
+        [(1, 0, "h2", "One marked title", "One marked title"), (1, 1, "p", "Some bold and linked text.", "One marked title"), (1, 2, "li", "The", "One marked title"), (1, 3, "h3", "Next", "Next"), (1, 4, "p", "Line break.", "Next"), (None, 0, "p", "No head", None)], key=str)
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html").collect()}
+    got = {}
+    for r in QUERIES["html_blocks"](spark, data).collect():
+        got.setdefault(r.page_id, []).append((r.pos, r.tag, r.text))
+    for page_id, text in pages.items():
+        plain = re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", "", text)
+        ends = r"</\1>|<(?:p|li|h[1-6])[ >]|</(?:ul|ol|div|nav|article|footer|body|html)>|$"
+        found = re.findall(rf"(?s)<(h[1-6]|p|li)(?: [^>]*)?>(.*?)(?={ends})", plain)
+        want = [(tag, " ".join(unescape(re.sub("<[^>]*>", "", raw.replace("<br>", " "))).split())) for tag, raw in found if tag != "h6"]
+        assert [(tag, x) for _, tag, x in sorted(got[page_id])] == [w for w in want if w[1]]
