@@ -14,8 +14,9 @@ Words are runs of letters and digits, in lower case.  An item of fewer than ``wo
 shingle of all its words, searched among the documents' shingles of that length; an item without
 words is in nothing.
 
-Nulls and edge cases: a null text is empty; repeated items or documents give a row each time, by their
-ids; a null id is kept; empty tables give an empty result; other columns are ignored.
+Nulls and edge cases: a null text is empty; ids need not be unique: items and documents go by a key of
+id and text, so each text is judged alone, and a pair gives a row for each different text; rows equal in
+id and text are one; a null id is kept; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,21 +43,26 @@ def shingles(of, n: int) -> F.Column:
 
 
 def item_shingles(items: DataFrame, words: int) -> DataFrame:
-    """(item_id, length, h): distinct shingles; length: words in a shingle."""
-    split = items.select(F.col("item_id"), tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """items(item_key, text) -> (item_key, length, h): distinct shingles; length: words in a shingle."""
+    split = items.select("item_key", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     of_length = [F.when(F.size("w") == n, shingles(F.col("w"), n)) for n in range(1, words)]
-    split = split.select("item_id", F.least(F.size("w"), F.lit(words)).alias("length"), F.explode(F.array_distinct(F.coalesce(*of_length, shingles(F.col("w"), words)))).alias("h"))
+    split = split.select("item_key", F.least(F.size("w"), F.lit(words)).alias("length"), F.explode(F.array_distinct(F.coalesce(*of_length, shingles(F.col("w"), words)))).alias("h"))
     return split.distinct()
 
 
 def sketches(of_items: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, length, h, n, class): the smallest hashes of each item, as many as its partition by size needs."""
-    arrays = of_items.groupBy("item_id", "length").agg(F.sort_array(F.collect_set("h")).alias("hs"))
+    """(item_key, length, h, n, class): the smallest hashes of each item, as many as its partition by size needs."""
+    arrays = of_items.groupBy("item_key", "length").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     n = F.size("hs")
     arrays = arrays.select("*", n.alias("n"), F.ceil(F.log2(n)).cast("int").alias("class"))
     largest = F.least(F.call_function("shiftleft", F.lit(1), F.col("class")), n)
     slots = F.least(F.floor((1 - threshold) * largest + 1e-9).cast("int") + 1, n)
-    return arrays.select("item_id", "length", "n", "class", F.explode(F.slice("hs", F.lit(1), slots)).alias("h"))
+    return arrays.select("item_key", "length", "n", "class", F.explode(F.slice("hs", F.lit(1), slots)).alias("h"))
+
+
+def row_key(id_column: str) -> F.Column:
+    """A key of id and text; a null id differs from all others."""
+    return F.xxhash64(F.col(id_column).isNull(), F.col(id_column), F.col("text").cast("string"))
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -76,27 +82,33 @@ def document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id, n_shingles, n_found, containment)
-    for each contained item; ids that repeat are taken as one text each, the union of their shingles."""
-    of_items = cut(item_shingles(items.select(F.col("item_id"), "text"), words))
+    for each contained item; each row is taken by its own text, whatever its id."""
+    found = docs.select(row_key("doc_id").alias("row_id"), "doc_id", "text")
+    pairs = cut(contained_rows(found, items, words, threshold))
+    doc_ids = found.join(bounded(cut(pairs.select("row_id").distinct())), "row_id", "left_semi").select("row_id", "doc_id").distinct()
+    item_ids = items.select(row_key("item_id").alias("item_key"), "item_id").distinct()
+    return pairs.join(doc_ids, "row_id").join(bounded(item_ids), "item_key").select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+
+
+def contained_rows(found: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """found(row_id, text, ...), items(item_id, text) -> (row_id, item_key, n_shingles, n_found, containment)."""
+    of_items = cut(item_shingles(items.select(row_key("item_id").alias("item_key"), "text"), words))
     lengths = [r[0] for r in of_items.select("length").distinct().collect()]  # at most `words` values
-    found = docs.select(F.col("doc_id").alias("row_id"), "text")
     if not lengths:
-        blank = docs.select("doc_id").limit(0)
-        return blank.crossJoin(items.select("item_id").limit(0)).selectExpr("doc_id", "item_id", "0 as n_shingles", "0 as n_found", "0D as containment")
+        return found.limit(0).selectExpr("row_id", "row_id as item_key", "0 as n_shingles", "0 as n_found", "0D as containment")
     sketch = cut(sketches(of_items, threshold))
-    counts = sketch.select("item_id", "length", "n").distinct()
+    counts = sketch.select("item_key", "length", "n").distinct()
     wanted = bounded(sketch.select("length", "h").distinct())
-    all_items = of_items.join(counts, ["item_id", "length"])
+    all_items = of_items.join(counts, ["item_key", "length"])
     near = document_shingles(found, lengths).join(wanted, ["length", "h"], "left_semi").select("row_id", "length", "h")
-    pairs = cut(near.join(bounded(sketch), ["length", "h"]).select("row_id", "item_id").distinct())
-    hits = bounded(pairs.select(F.col("row_id").alias("hit_id")).distinct())
-    hit = found.join(hits, F.col("row_id").eqNullSafe(F.col("hit_id")), "left_semi")
+    hits = cut(near.join(bounded(sketch), ["length", "h"]).select("row_id").distinct())
+    hit = found.join(bounded(hits), "row_id", "left_semi")
     known = bounded(of_items.select("length", "h").distinct())
     there = document_shingles(hit, lengths).join(known, ["length", "h"], "left_semi")
     both = there.join(bounded(all_items), ["length", "h"])
-    of_pair = both.groupBy("row_id", "item_id").agg(F.count_distinct("h").alias("n_found"), F.first("n").alias("n_shingles"))
+    of_pair = both.groupBy("row_id", "item_key").agg(F.count_distinct("h").alias("n_found"), F.first("n").alias("n_shingles"))
     checked = of_pair.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= threshold - 1e-9)
-    return checked.select(F.col("row_id").alias("doc_id"), "item_id", F.col("n_shingles").cast("int").alias("n_shingles"), F.col("n_found").cast("int").alias("n_found"), "containment")
+    return checked.select("row_id", "item_key", F.col("n_shingles").cast("int").alias("n_shingles"), F.col("n_found").cast("int").alias("n_found"), "containment")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -106,9 +118,9 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that contain an item; a row with a null doc_id goes by its own text too."""
-    bad = contained(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bounded(cut(bad)), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """docs without those that contain an item; each row goes by its own text, whatever its doc_id."""
+    bad = contained_rows(docs.select(row_key("doc_id").alias("row_id"), "text"), items).select(F.col("row_id").alias("bad_id")).distinct()
+    return docs.join(bounded(cut(bad)), row_key("doc_id") == F.col("bad_id"), "left_anti")
 
 
 ORACLE_OP4 = r"""

@@ -383,3 +383,15 @@ def test_toxicity_restores_long_tokens():
     spaced = " ".join("".join(words * 5))
     assert len(spaced) > 200 and "idiot" in " ".join(sorted(restorer.words(spaced)))
     assert restorer.words(".".join(["a"] * 50_000)) is not None
+
+
+def test_decontamination_judges_rows_whatever_their_ids(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    other = "red green blue black white brown grey pink gold silver bronze copper"
+    clean = "a clean text that holds nothing of what was named above at all"
+    docs = frame(spark, [(None, f"so {passage} it goes", "s"), (None, clean, "s"), (7, f"so {other} it goes", "s"), (7, clean, "s"), (8, passage[:30], "s"), (8, passage[24:], "s")])
+    bench = spark.createDataFrame([(None, passage), (1, other), (1, "quite another passage that has more words than the first one had")], "item_id long, text string")
+    assert Counter((r.doc_id, r.item_id) for r in decontaminate.contained(docs, bench).collect()) == Counter([(None, None), (7, 1)])
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, clean), (7, clean), (8, passage[:30]), (8, passage[24:])])
