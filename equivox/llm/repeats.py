@@ -90,25 +90,50 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((value, first))
 
 
-def maximal_repeats(texts: list[bytes], least: int, depth: int = 1 << 12) -> list[tuple[bytes, list[tuple[int, int]]]]:
-    """All strings of least to depth bytes that occur at least twice in the texts and can't be extended to
-    either side in all their occurrences, each with all occurrences (text, offset)."""
+def whole_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts, each ended by a symbol below all bytes (bytes count from one); the starts of all suffixes in
+    order, by doubling the length compared; and the lengths of the common prefixes, by Kasai's scan."""
+    text = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int64) + 1, 0) for t in texts])
+    n, step, rank = len(text), 1, text
+    while True:
+        after = np.full(n, -1, np.int64)
+        after[: max(n - step, 0)] = rank[step:]
+        order = np.lexsort((after, rank))
+        new = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(new)])
+        if rank.max() == n - 1:
+            break
+        step *= 2
+    symbols, place, before = text.tolist(), rank.tolist(), order.tolist()
+    lcp, h = [0] * n, 0
+    for at in range(n):
+        if place[at] == 0:
+            h = 0
+            continue
+        other = before[place[at] - 1]
+        while at + h < n and other + h < n and symbols[at + h] == symbols[other + h] != 0:
+            h += 1
+        lcp[place[at]] = h
+        h = max(h - 1, 0)
+    return text, order, np.array(lcp, np.int64)
+
+
+def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """All strings of at least `least` bytes (one or more), however long, that occur at least twice in the texts
+    and can't be extended to either side in all their occurrences, each with all occurrences (text, offset)."""
+    if not texts:
+        return []
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes + 1)]) if len(texts) else np.zeros(1, np.int64)
-    text = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
-    starts = np.concatenate([np.arange(o, o + n) for o, n in zip(offsets, sizes, strict=False)]) if len(texts) else np.empty(0, np.int64)
-    depth = int(min(depth, max(sizes, default=0) or 1))
-    order, lcp = suffix_array(text, starts, depth)
-    of = np.searchsorted(offsets, order, side="right") - 1 if len(order) else order
-    room = offsets[of] + sizes[of] - order if len(order) else order
-    if len(order):
-        lcp[1:] = np.minimum(lcp[1:], np.minimum(room[1:], room[:-1]))
+    offsets = np.cumsum(sizes + 1) - sizes - 1
+    text, order, lcp = whole_order(texts)
+    of = np.searchsorted(offsets, order, side="right") - 1
     found = []
     for length, first, last in intervals(lcp.tolist(), least):
         at = order[first : last + 1]
         inner = at > offsets[of[first : last + 1]]
-        if length < depth and (not inner.all() or len(np.unique(text[at - 1])) > 1):
-            found.append((bytes(text[at[0] : at[0] + length]), sorted((int(of[k]), int(order[k] - offsets[of[k]])) for k in range(first, last + 1))))
+        if not inner.all() or len(np.unique(text[at - 1])) > 1:
+            found.append((texts[of[first]][at[0] - offsets[of[first]] :][:length], sorted((int(of[k]), int(order[k] - offsets[of[k]])) for k in range(first, last + 1))))
     return found
 
 

@@ -395,3 +395,11 @@ def test_decontamination_judges_rows_whatever_their_ids(spark):
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, clean), (7, clean), (8, passage[:30]), (8, passage[24:])])
+
+
+def test_maximal_repeats_of_whole_and_long_texts():
+    assert repeats.maximal_repeats([b"abcdef", b"abcdef"], 3) == [(b"abcdef", [(0, 0), (1, 0)])]
+    rng = random.Random(14)
+    long = bytes(rng.randrange(256) for _ in range(6000))
+    assert repeats.maximal_repeats([long, b"\0" + long + b"\0", b""], 50) == [(long, [(0, 0), (1, 1)])]
+    assert repeats.maximal_repeats([], 3) == [] == repeats.maximal_repeats([b"", b"ab"], 3)
