@@ -31,9 +31,9 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture draws them."""
+    """Documents as often as the mixture draws them, dealt to shards and shuffled within each."""
     ship(spark)
-    return mixing.mix(docs, shuffle=False).drop("mix_shard")
+    return mixing.mix(docs).drop("mix_shard")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -403,3 +403,16 @@ def test_maximal_repeats_of_whole_and_long_texts():
     long = bytes(rng.randrange(256) for _ in range(6000))
     assert repeats.maximal_repeats([long, b"\0" + long + b"\0", b""], 50) == [(long, [(0, 0), (1, 1)])]
     assert repeats.maximal_repeats([], 3) == [] == repeats.maximal_repeats([b"", b"ab"], 3)
+
+
+def test_the_mixture_stage_shuffles_within_shards(spark):
+    import corpus_pipeline
+
+    df = frame(spark, [(k, f"some words of {k}", f"s{k % 3}") for k in range(300)]).coalesce(1)
+    got = [r.doc_id for r in corpus_pipeline.mixture(spark, df, "").collect()]
+    assert got == [r.doc_id for r in mixing.mix(df).collect()]
+    shards = {}
+    for r in mixing.mix(df).collect():
+        shards.setdefault(r.mix_shard, []).append(r.doc_id)
+    assert any(x != sorted(x) for x in shards.values())
+    assert got != [r.doc_id for r in mixing.mix(df, shuffle=False).collect()]
