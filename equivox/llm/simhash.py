@@ -10,13 +10,17 @@ share a key meet in one partition, their Hamming distances are verified there wi
 spanning forest of each key's links leaves it: the number of rows stays linear in the group's size
 and no link between different texts is lost for connectivity.
 
-``near_texts`` links texts by the exact similarity of their sets of shingles instead: at a similarity of 0.8
-fingerprints differ in about 10 bits of 64, often in 16, and no choice of blocks both holds that radius and
-makes keys long enough to join on.
+``near_texts`` links texts by the exact similarity of their sets of shingles.  Fingerprints come first: pairs
+within the radius are verified on their sets and so most groups of copies are connected at the start.  But at a
+similarity of 0.8 fingerprints differ in about 10 bits of 64, often in 16, and no choice of blocks both holds that
+radius and makes keys long enough to join on; so a second search completes the first: two texts of that similarity
+share one of their rarest shingles (a prefix of each set in an order that all share), and the number they share
+bounds their similarity from above before any set is compared.
 
 Nulls and edge cases: a null text counts as empty; a text without words has fingerprint zero and
 links like any other; repeated rows stay; a null doc_id is kept and never names a component unless
-the whole component has none; an empty table gives an empty result; other columns are ignored.
+the whole component has none; an empty table gives an empty result; other columns are ignored (and pass
+through ``drop_near_copies``, whatever their names).
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equivox.llm.components import components
-from equivox.llm.session import cut
+from equivox.llm.session import cut, written
 
 SAMPLE = 5_000  # texts looked at to learn which shingles are common
 COMMON = 100_000  # of these so many at most are known by count
@@ -45,19 +49,27 @@ def node_of() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def hashed_shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of all runs of words, repeats included; a shorter text is one run, one without words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
-    n = max(1, len(tokens) - words + 1)
-    ones = np.zeros(64, np.int64)
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, PIECE):
-        part = tokens[at : min(at + PIECE, n) + words - 1]
-        runs = zip(*(part[k:] for k in range(words)), strict=False) if len(tokens) >= words else [tokens]
-        hashes = np.array([digest(b" ".join(run), 42) for run in runs], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    runs = zip(*(tokens[k:] for k in range(words)), strict=False) if len(tokens) >= words else [tokens]
+    return np.fromiter((digest(b" ".join(run), 42) for run in runs), np.uint64, max(1, len(tokens) - words + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        part = hashes[at : at + PIECE].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    return majority(hashed_shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -125,15 +137,27 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """distinct(fp) -> (u, v): links enough to connect all fingerprints within radius of another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last key, which may go on
+
+        def done() -> pd.DataFrame:
+            keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return table(linked(keys, fps, radius))
+
         for batch in batches:
-            keys = np.r_[keys, batch["key"].to_numpy(np.int64)]
-            fps = np.r_[fps, batch["fp"].to_numpy(np.int64).view(np.uint64)]
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on
-            if whole:
-                yield table(linked(keys[:whole], fps[:whole], radius))
-                keys, fps = keys[whole:], fps[whole:]
-        yield table(linked(keys, fps, radius))
+            if not len(batch):
+                continue
+            keys, fps = batch["key"].to_numpy(np.int64), batch["fp"].to_numpy(np.int64).view(np.uint64)
+            last = int(np.searchsorted(keys, keys[-1]))
+            if held and (last or keys[0] != held[-1][0][-1]):
+                held.append((keys[:last], fps[:last]))
+                yield done()
+            elif last:
+                held.append((keys[:last], fps[:last]))
+                yield done()
+            held.append((keys[last:], fps[last:]))
+        if held:
+            yield done()
 
     def table(edges: np.ndarray) -> pd.DataFrame:
         edges = edges.view(np.int64)
@@ -157,10 +181,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """The distinct hashes of the runs of words, sorted; a shorter text is one run."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    runs = zip(*(tokens[k:] for k in range(words)), strict=False) if len(tokens) >= words else [tokens] if tokens else []
-    return np.unique(np.array([digest(b" ".join(run), 42) for run in runs], dtype=np.uint64).view(np.int64))
+    return np.unique(hashed_shingles(text, words).view(np.int64))
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -183,68 +204,108 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return got["h"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
-def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """texts(node, text) -> (key, node, n), distinct: the rarest shingles of each text, n - ceil(similarity * n) + 1
-    of its n in an order that all texts share.  Two texts of that similarity have one of these in common."""
+def profiles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """texts(node, text) -> (node, fp, n, keys): fingerprint, number n of distinct shingles, and the rarest of them,
+    n - ceil(similarity * n) + 1 in an order that all texts share.  Two texts of that similarity have one of these
+    in common.  Each text is a row once a task."""
     hs, ns = common_shingles(texts, words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            keys, sizes = [], []
-            for text in batch["text"]:
-                own = shingle_set(text, words)
+            rows = []
+            for node, text in zip(batch["node"].tolist(), batch["text"], strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                hashes = hashed_shingles(text, words)
+                own = np.unique(hashes.view(np.int64))
                 at = np.minimum(np.searchsorted(hs, own), max(len(hs) - 1, 0))
                 often = np.where(hs[at] == own, ns[at], 0) if len(hs) else np.zeros(len(own), np.int64)
-                keys.append(own[np.lexsort((own, often))[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]])
-                sizes.append(len(own))
-            yield pd.DataFrame({"node": batch["node"], "n": sizes, "keys": keys})
+                # texts without words have no shingle and are equal to each other
+                keys = own[np.lexsort((own, often))[: len(own) - least_shared(len(own), similarity) + 1]] if len(own) else np.zeros(1, np.int64)
+                rows.append((node, np.uint64(majority(hashes)).view(np.int64), len(own), keys))
+            yield pd.DataFrame(rows, columns=["node", "fp", "n", "keys"])
+
+    return texts.mapInPandas(run, "node long, fp long, n int, keys array<long>")
 
-    out = texts.mapInPandas(run, "node long, n int, keys array<long>")
-    # texts without words have no shingle and are equal to each other
-    keys = F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("keys"))
-    return out.select(F.explode(keys).alias("key"), "node", "n").distinct()
+
+def least_shared(n: int, similarity: float) -> int:
+    return int(np.ceil(similarity * n - 1e-9))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets of shingles have the similarity."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = cut(shingle_sets(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), words))
+    sets = written(shingle_sets(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), words))
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("hs").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("hs").alias("a")), "u")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
 
-def near_texts(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def by_fingerprint(found: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Profiles -> pairs (u, v) within radius, enough to connect all such: fingerprints by their links, and the texts
+    of one fingerprint with the least of them; pairs whose sizes rule the similarity out are left."""
+    prints = found.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"))
+    of = lambda name: prints.select(F.col("fp").alias(name), F.col("first.node").alias(f"{name}_node"), F.col("first.n").alias(f"{name}_n"))
+    between = links(prints.select("fp"), radius).join(of("u"), "u").join(of("v"), "v")
+    within = found.join(prints, "fp").where("node != first.node")
+    pairs = between.selectExpr("u_node", "v_node", "u_n", "v_n").union(within.selectExpr("first.node", "node", "first.n", "n"))
+    sized = F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9
+    return pairs.where(sized).select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+
+
+def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """labels(node, root) after the pairs (u, v) are linked, too."""
+    if pairs.isEmpty():
+        return labels
+    named = pairs
+    for x in "uv":
+        named = named.join(labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    moved = components(named.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")))
+    known = labels.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(known.union(moved.join(labels, "node", "left_anti").select("node", "root")))
+
+
+def near_texts(docs: DataFrame, words: int, similarity: float, radius: int = 3) -> DataFrame:
     """docs(text, ...) -> (node, root) for the texts that have a near copy.
 
-    Texts that share a key and are not connected yet are compared: all pairs of small groups; of a large one
-    the first few texts with all others, then the next ones, twice as many each round, until the group is
-    connected or used up.  So no link is lost for connectivity, and a large group of near copies
-    costs a few rows for each text."""
+    Links of the fingerprints come first.  Then texts that share a key and are not connected yet are compared: all
+    pairs of small groups; of a large one the first few texts with all others, then the next ones, twice as many
+    each round, until the group is connected or used up.  So no link is lost for connectivity, and a large group of
+    near copies costs a few rows for each text.
+
+    A pair shares at most as many of its shingles as keys it shares, and all that come after the keys of one of
+    the two: pairs for which that is too few are dropped before sets are compared (``shared_keys`` counts those of small
+    groups, ``large`` how many keys of a text are in large ones and may be shared)."""
     texts = docs.select(node_of().alias("node"), F.col("text").cast("string").alias("text"))
+    found = written(profiles(texts, words, similarity))
+    close = written(by_fingerprint(found.select("node", "fp", "n").distinct(), radius, similarity))
+    labels = components(verified(close, texts, words, similarity))
     key = Window.partitionBy("key")
-    left = prefixes(texts, words, similarity).withColumn("g", F.count("*").over(key)).where("g > 1").drop("g")
-    left, found, labels, centres = cut(left), None, None, CENTRES
+    left = found.select(F.explode("keys").alias("key"), "node", "n").repartition("key").distinct().withColumn("g", F.count("*").over(key)).where("g > 1").drop("g")
+    left, centres = written(left), CENTRES
     while True:
-        named = left.withColumn("root", F.col("node")) if labels is None else left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = named.withColumns({"g": F.count("*").over(key), "least": F.min("root").over(key), "most": F.max("root").over(key), "k": F.row_number().over(key.orderBy("node"))})
-        open_ = cut(open_.where("least < most").drop("least", "most"))
+        open_ = written(open_.where("least < most").drop("least", "most"))
         if open_.isEmpty():
-            break
-        a = open_.where((F.col("g") <= SMALL) | (F.col("k") <= centres)).select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-        b = open_.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-        sized = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9
-        pairs = cut(a.join(b, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & sized).select("u", "v").distinct())
-        good = verified(pairs, texts, words, similarity)
-        found = cut(good if found is None else found.union(good))
-        labels = components(found)
+            return labels
+        large = open_.groupBy("node").agg(F.count_if(F.col("g") > SMALL).alias("large"))
+        rows = open_.join(large, "node")
+        side = lambda x, y: rows.select("key", "g", "k", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("large").alias(f"l{x}"))  # noqa: B023, E731
+        a = side("u", "v").where((F.col("g") <= SMALL) | (F.col("k") <= centres)).drop("k")
+        pairs = a.join(side("v", "u").drop("g", "k"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
+        pairs = pairs.groupBy("u", "v", "nu", "nv", "lu", "lv").agg(F.count_if(F.col("g") <= SMALL).alias("shared_keys"))
+        after = F.ceil(similarity * F.greatest("nu", "nv") - 1e-9) - 1  # shingles beyond the keys, of the one that has more
+        most = F.least(F.least("nu", "nv"), F.col("shared_keys") + F.least("lu", "lv") + after)
+        enough = most >= similarity * (F.col("nu") + F.col("nv") - most) - 1e-9
+        pairs = written(pairs.where(enough | (F.greatest("nu", "nv") == 0)).select("u", "v"))
+        labels = merged(labels, written(verified(pairs, texts, words, similarity)))
         left = open_.where((F.col("g") > SMALL) & (F.col("k") > centres)).select("key", "node", "n")
         if left.isEmpty():
-            break
+            return labels
         centres *= 2
-    if labels is None:
-        return texts.limit(0).select("node", F.col("node").alias("root"))
-    return labels
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -266,14 +327,16 @@ def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3, similarit
         roots = groups.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
     else:
         roots = near_texts(docs, words, similarity)
-    row = F.md5(F.to_json(F.struct(*docs.columns)))
-    per_row = docs.select(node_of().alias("node"), F.col("doc_id").isNull().alias("last"), "doc_id", row.alias("row")).groupBy("node", "last", "doc_id", "row").agg(F.count("*").alias("n"))
-    first = F.min(F.struct("last", "doc_id", "row", "n")).alias("first")
+    names = docs.columns
+    whole = docs.select(F.struct(*names).alias("row"), node_of().alias("node"), F.col("doc_id").alias("id"))
+    whole = whole.withColumn("row_key", F.md5(F.to_json("row")))
+    per_row = whole.groupBy("node", F.col("id").isNull().alias("last"), "id", "row_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct("last", "id", "row_key", "n")).alias("first")
     per_text = per_row.groupBy("node").agg(first).join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first.*")
-    keep = cut(per_text.groupBy("root").agg(first).select(F.col("first.row").alias("kept_row"), "first.n"))
-    once = docs.join(keep.where("n = 1"), row == F.col("kept_row"), "left_semi")
+    keep = cut(per_text.groupBy("root").agg(first).select("first.row_key", "first.n"))
+    once = whole.join(keep.where("n = 1"), "row_key", "left_semi").select("row.*")
     repeated = keep.where("n > 1")
     if repeated.isEmpty():
         return once
-    rows = docs.withColumn("_row", row).join(repeated, F.col("_row") == F.col("kept_row"), "left_semi")
-    return once.unionByName(rows.dropDuplicates(["_row"]).drop("_row"))
+    rows = whole.join(repeated, "row_key", "left_semi")
+    return once.unionByName(rows.dropDuplicates(["row_key"]).select("row.*"))
