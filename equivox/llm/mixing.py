@@ -12,28 +12,36 @@ between the two halves of the shards, as if all blocks were shuffled and cut.  A
 blocks from the source's permuted order, in ranges that no other shard has, and shuffles its
 documents locally.
 
-Only sums by source and the quotas reach the driver: a few numbers for each source.  Blocks are
-at most ``blocks`` for a source, so a hot source's rows meet in no task.
-
-Nulls and edge cases: a null text has no words and is taken as often as its block (taken 0);
-a null source is a source, the last; a null doc_id hashes like an empty id; repeated rows share a
-block; an empty table gives an empty result; other columns pass through.
+Only sums by source and the quotas reach the driver: a few numbers for each source (sources are as many as
+there are weights to give, a list of config size).  Blocks are at most ``blocks`` for a source, so a hot source's
+rows meet in no task.  The number of shards follows the words drawn.  The table of blocks is broadcast if it has at most
+``BROADCAST_ROWS`` rows, so texts move once, to their shards.
+
+Nulls and edge cases: a null text has no words and is taken as often as its block (taken 0); a block without words
+is drawn with the whole passes only; a null source is a source, the last; a null doc_id hashes like an empty id;
+repeated rows share a block; very long texts are sizes like any other (one larger than what is left of a
+target is not drawn again); an empty table gives an empty result; other columns pass through, whatever their
+names (``mix_shard`` is replaced).
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equivox.llm.session import cut
+from equivox.llm.session import bounded, cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCKS = 2048
-SHARDS = 16
+SHARDS = 16  # at least
+SHARD_WORDS = 1 << 26  # in a shard of a large mixture, on average
+BROADCAST_ROWS = 200_000  # a table of at most so many blocks, some MB, is broadcast
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,7 +80,7 @@ def order_of(name: str | None) -> tuple:
     return (name is None, name or "")
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The sizes (doc_id, source, size, block), and the blocks (source, block, source_size, target,
     draws: the shards that drew it, one entry a draw)."""
     spark = docs.sparkSession
@@ -94,7 +102,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         taken = [rng.permutation(len(pdf)) for _ in range(whole)]
         rest, fits, words = target - whole * total, [], pdf["words"].to_numpy()
         for k in rng.permutation(len(pdf)).tolist():
-            if words[k] <= rest + 1e-6:
+            if 0 < words[k] <= rest + 1e-6:
                 rest -= words[k]
                 fits.append(k)
         order = np.concatenate([*taken, np.array(fits, dtype=int)])
@@ -103,15 +111,17 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     drawn = cut(by_block.groupBy("source").applyInPandas(draw, "source string, block int, unit long"))
     quotas = {r[0]: int(r[1]) for r in drawn.groupBy("source").agg(F.count("*")).collect()}
     quota = np.array([quotas.get(r[0], 0) for r in sources], dtype=np.int64)
+    shards = shards or max(SHARDS, ceil(sum(goals) / SHARD_WORDS))
     ends = split(quota, shards, np.random.default_rng(seed)).cumsum(0)
     rows = [(r[0], float(sizes[k]), float(goals[k]), ends[:, k].tolist()) for k, r in enumerate(sources)]
     facts = spark.createDataFrame(rows, "its_source string, source_size double, target double, ends array<long>")
     here = F.col("source").eqNullSafe(F.col("its_source"))
+    facts = bounded(facts, BROADCAST_ROWS)
     shard = F.size(F.filter("ends", lambda e: e <= F.col("unit"))).alias("shard")
-    dealt = drawn.join(F.broadcast(facts), here).select("source", "block", shard).groupBy("source", "block").agg(F.array_sort(F.collect_list("shard")).alias("draws"))
+    dealt = drawn.join(facts, here).select("source", "block", shard).groupBy("source", "block").agg(F.array_sort(F.collect_list("shard")).alias("draws"))
     dealt = dealt.select(F.col("source").alias("drawn_source"), F.col("block").alias("drawn_block"), "draws")
     same = F.col("source").eqNullSafe(F.col("drawn_source")) & (F.col("block") == F.col("drawn_block"))
-    table = by_block.join(F.broadcast(facts), here).join(dealt, same, "left")
+    table = by_block.join(facts, here).join(dealt, same, "left")
     empty = F.array().cast("array<int>")
     return sized, cut(table.select("source", "block", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("draws", empty).alias("draws")))
 
@@ -125,7 +135,7 @@ def to_block(rows: DataFrame, table: DataFrame) -> DataFrame:
     """rows(source, block, ...) with the facts of their block."""
     facts = table.select(F.col("source").alias("block_source"), F.col("block").alias("block_number"), "source_size", "target", "draws")
     here = F.col("source").eqNullSafe(F.col("block_source")) & (F.col("block") == F.col("block_number"))
-    return rows.join(facts, here).drop("block_source", "block_number")
+    return rows.join(bounded(facts, BROADCAST_ROWS), here).drop("block_source", "block_number")
 
 
 def mix(docs: DataFrame, shuffle: bool = True, **options) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the cluster's shared checkpoint folder and read from there.
 
-    The folder is the one of ``spark.checkpoint.dir``; only where that is unset (tests) is one made.
+    The folder is the one of ``spark.checkpoint.dir``; where that is unset, a local session (tests) gets one of its
+    own, and a cluster an error: a folder of the driver's machine would be missing on the others.
     """
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -26,10 +29,17 @@ def shared(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows (they are counted)."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, written as Parquet beside the checkpoints and read again, so that later steps
     read the columns they need."""
