@@ -7,19 +7,22 @@ table.  The sketches of two versions subtract by xor, cell by cell: common parag
 left is peeled: a cell whose content passes the check is a single digest; it is recovered and taken out
 of the other tables.  If cells remain, the difference was too large for the sketch, and the versions
 are sketched again, larger: digests are parted by hash into groups of bounded size, with 48, then 192,
-then 768 cells a group.  (A wrong content passes the check once in 2^24 cells.)
+then 768 cells a group; a group that still fails (digests that collide in all tables, three times over) is settled by
+the difference of its two sets, so every difference is found whole.  (A wrong content passes the check once in 2^24
+cells.)
 
 Likeness of two versions is the Jaccard index of their paragraph sets: with a and b paragraphs and d
 recovered differences (a + b - d) / (a + b + d), and 1 for two texts without paragraphs.
 
 Everything is expressed in array functions of one row, so nothing is shuffled but the texts, once, to
-bring each to its successor by doc_id.
+bring each to its successor by doc_id.  Digests are parted into groups in three steps, each by one digit of the
+group's number, so a text of n lines takes about n^(4/3) steps.
 
 Nulls and edge cases: a null text is empty; equal texts have equal fingerprints, and so have texts
 with the same set of paragraphs; rows with a null doc_id come first; rows of one doc_id follow each
-other in the order of their texts; an only document is its own successor; an empty table gives an
-empty result; other columns are ignored.  If even the largest sketch fails (cells that collide in all
-tables, three times over), the versions count as wholly different and ``decoded`` is false.
+other in the order of their texts; an only document is its own successor; very long texts are read whole; an
+empty table gives an empty result; other columns are ignored.  ``decoded`` tells whether sketches alone recovered the
+differences of both comparisons; the differences are whole either way.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql.window import Window
 
 SMALL = 12  # cells in each table of the published sketch
 LOAD = 16  # digests in a group of a larger sketch, on average
-LARGER = (16, 64, 256)  # cells in each table of a group, one retry after the other
+LARGER = (16, 64, 256)  # cells in each table of a group, one retry after the other; then the sets themselves
 ROUNDS = 15  # each empties one table
 
 
@@ -118,40 +121,51 @@ def decode_small(a: Column, b: Column) -> Column:
     return peel(subtract(a, b), SMALL, 0)
 
 
-def decode_large(a: Column, b: Column) -> Column:
-    """Of two arrays of digests, by larger sketches of groups of them; a group that fails goes on to the
-    next size alone."""
-    groups = F.ceil((F.size(a) + F.size(b)) / F.lit(LOAD)).cast("int")
+def parted(a: Column, b: Column) -> Column:
+    """Two arrays of digests -> the pairs (a, b) of their groups by hash, of LOAD digests on average; digits of the
+    digests' group numbers are split off one by one."""
+    fan = F.greatest(F.ceil(F.pow((F.size(a) + F.size(b)) / F.lit(LOAD), F.lit(1 / 3)) - 1e-9), F.lit(1)).cast("int")
+    numbered = lambda of: F.transform(of, lambda x: F.struct(F.pmod(F.xxhash64(x, F.lit(50)), fan * fan * fan).cast("int").alias("g"), x.alias("x")))
+    parts = F.array(F.struct(numbered(a).alias("a"), numbered(b).alias("b")))
 
-    def of_group(g: Column) -> Column:
-        own = lambda of: F.filter(of, lambda x: F.pmod(F.xxhash64(x, F.lit(50)), groups) == g)
-        return let(F.struct(own(a).alias("a"), own(b).alias("b")), lambda pair: tried(pair, 0))
+    def digit(part: Column, unit: Column) -> Column:
+        own = lambda of, k: F.filter(of, lambda e: F.floor(e["g"] / unit) % fan == k)
+        return F.transform(F.sequence(F.lit(0), fan - 1), lambda k: F.struct(own(part["a"], k).alias("a"), own(part["b"], k).alias("b")))
+
+    for unit in (fan * fan, fan, F.lit(1)):
+        parts = F.flatten(F.transform(parts, lambda p: digit(p, unit)))  # noqa: B023
+    plain = lambda of: F.transform(of, lambda e: e["x"])
+    return F.transform(parts, lambda p: F.struct(plain(p["a"]).alias("a"), plain(p["b"]).alias("b")))
+
+
+def decode_large(parts: Column) -> Column:
+    """Of the pairs of groups of two arrays of digests, by larger sketches; a group that fails goes on to the next
+    size alone, and at last to the difference of its sets."""
 
     def tried(pair: Column, rung: int) -> Column:
+        if rung == len(LARGER):
+            return F.struct(F.lit(False).alias("ok"), F.concat(F.array_except(pair["a"], pair["b"]), F.array_except(pair["b"], pair["a"])).alias("found"))
         cells, salt = LARGER[rung], 100 * (rung + 1)
         result = peel(subtract(sketch(pair["a"], cells, salt), sketch(pair["b"], cells, salt)), cells, salt)
-        if rung + 1 == len(LARGER):
-            return result
         return let(result, lambda r: F.when(r["ok"], r).otherwise(tried(pair, rung + 1)))
 
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(groups, F.lit(1)) - 1), of_group)
-    return let(parts, lambda p: F.struct(F.forall(p, lambda r: r["ok"]).alias("ok"), F.flatten(F.transform(p, lambda r: r["found"])).alias("found")))
-
-
-def compare(a: str, b: str, a_sketch: str, b_sketch: str) -> Column:
-    """struct(ok, found), the differing digests of the versions a and b (arrays of digests)."""
-    return let(decode_small(F.col(a_sketch), F.col(b_sketch)), lambda r: F.when(r["ok"], r).otherwise(decode_large(F.col(a), F.col(b))))
+    done = F.transform(parts, lambda pair: tried(pair, 0))
+    return let(done, lambda p: F.struct(F.forall(p, lambda r: r["ok"]).alias("ok"), F.flatten(F.transform(p, lambda r: r["found"])).alias("found")))
 
 
 @lru_cache(maxsize=2)
-def expressions(application: str) -> tuple[dict[str, Column], dict[str, Column]]:
-    """The sketches of a, b and c, and the comparisons; they are long, so they are built once."""
-    return {f"s{x}": small_sketch(F.col(x)) for x in "abc"}, {"ab": compare("a", "b", "sa", "sb"), "ac": compare("a", "c", "sa", "sc")}
+def expressions(application: str) -> tuple[dict[str, Column], ...]:
+    """The sketches of a, b and c; the comparisons ab and ac of published sketches; the groups of those that fail;
+    and the results, structs (ok, found).  They are long, so they are built once, and are resolved step by step."""
+    small = {f"small_{x}": decode_small(F.col("sa"), F.col(f"s{x}")) for x in "bc"}
+    parts = {f"parts_{x}": F.when(~F.col(f"small_{x}")["ok"], parted(F.col("a"), F.col(x))) for x in "bc"}
+    results = {f"a{x}": F.when(F.col(f"small_{x}")["ok"], F.col(f"small_{x}")).otherwise(decode_large(F.col(f"parts_{x}"))) for x in "bc"}
+    return {f"s{x}": small_sketch(F.col(x)) for x in "abc"}, small, parts, results
 
 
 def likeness(a: str, b: str, result: str) -> Column:
     both = F.size(a) + F.size(b)
-    d = F.when(F.col(result)["ok"], F.size(F.col(result)["found"])).otherwise(both)
+    d = F.size(F.col(result)["found"])
     return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d)).cast("double")
 
 
@@ -194,7 +208,7 @@ def with_next(docs: DataFrame, per_bucket: int) -> DataFrame:
 def fingerprints(docs: DataFrame, per_bucket: int = 250) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, and removed, added: the recovered digests of the paragraphs that only the
-    text or only its edited version has; decoded: whether both comparisons were recovered."""
+    text or only its edited version has; decoded: whether sketches alone gave both comparisons."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = with_next(docs.select(F.col("doc_id").cast("long"), text.alias("text")), per_bucket)
     n = F.length("text")
@@ -202,8 +216,8 @@ def fingerprints(docs: DataFrame, per_bucket: int = 250) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.withColumns({"n_chars": n.cast("long"), "edited": edited})
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
-    sketches, results = expressions(docs.sparkSession.sparkContext.applicationId)
-    rows = rows.withColumns(sketches).withColumns(results)
+    for step in expressions(docs.sparkSession.sparkContext.applicationId):
+        rows = rows.withColumns(step)
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("sa")).alias("fingerprint"), written(F.col("sb")).alias("edited_fingerprint"),
         likeness("a", "b", "ab").alias("near_edited"), likeness("a", "c", "ac").alias("near_next"),

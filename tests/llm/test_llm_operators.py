@@ -66,11 +66,25 @@ def test_fingerprints_retry_larger(spark):
     digest = lambda c: F.transform(F.col(c), lambda x: (F.xxhash64(x).bitwiseAND(F.lit(-(1 << 24)))).bitwiseOR(fingerprints.check(F.xxhash64(x).bitwiseAND(F.lit(-(1 << 24))))))
     df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(digest("a").alias("a"), digest("b").alias("b"))
     small = fingerprints.decode_small(fingerprints.small_sketch(F.col("a")), fingerprints.small_sketch(F.col("b")))
-    r = df.select("a", "b", small.alias("s"), fingerprints.decode_large(F.col("a"), F.col("b")).alias("l")).first()
+    r = df.withColumn("p", fingerprints.parted(F.col("a"), F.col("b"))).select("a", "b", small.alias("s"), fingerprints.decode_large(F.col("p")).alias("l")).first()
     assert not r.s.ok and r.l.ok
     assert sorted(r.l.found) == sorted(set(r.a) ^ set(r.b))
 
 
+def test_fingerprints_always_recover_the_difference(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "LARGER", (1, 2))  # sketches far too small
+    df = spark.createDataFrame([(list(range(1, 60)), list(range(40, 90))), ([], [1, 2]), (list(range(9)), list(range(9)))], "a array<long>, b array<long>")
+    for r in df.withColumn("p", fingerprints.parted(F.col("a"), F.col("b"))).select("a", "b", fingerprints.decode_large(F.col("p")).alias("l")).collect():
+        assert sorted(r.l.found) == sorted(set(r.a) ^ set(r.b))
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    lines = [f"line {k} of a long text" for k in range(20_000)]
+    df = frame(spark, [(1, "\n".join(lines), "s"), (2, "\n".join(lines[:15_000] + [f"other {k}" for k in range(3_000)]), "s")])
+    got = {r.doc_id: r for r in fingerprints.fingerprints(df).collect()}
+    assert got[1].near_next == pytest.approx(15_000 / 23_000) == got[2].near_next
+
+
 def brute_print(text):
     w = (text or "").encode().lower().split()
     runs = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
