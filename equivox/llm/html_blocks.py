@@ -4,14 +4,18 @@ A page is cut into leaf blocks: stretches of text without a block-level tag insi
 vector of its tag path (hashed tag names and class and id words), its hashed words and a few measures;
 a bidirectional LSTM reads the page's blocks in order, so each block is labelled in the context of the
 whole page.  Blocks labelled as main text are joined in order.  Scripts, styles, comments and markup
-never become text.
+never become text; all other elements do, if their blocks are labelled so.
 
 The network is numpy.  It is trained on the driver, once a session, on pages that
 ``training_pages`` writes: varied templates with menus, headers, notices, adverts, articles, sidebars,
 forms, reader comments and footers whose roles are known.
 
+Pages of like length go through the network together, a bounded number of blocks at once; a page over that bound goes
+alone, in pieces: each direction carries its state from piece to piece, so the whole page is the context, and
+only a few numbers a block are held.
+
 Nulls and edge cases: null html is empty; a page without main text gives an empty text; repeated pages
-and null ids stay; very long pages are labelled whole; an empty table gives an empty result; other
+and null ids stay; very long pages and deep nesting are labelled whole; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -33,47 +38,50 @@ INPUT = PATH + WORDS + MEASURES
 HIDDEN = 16
 SEED = 5
 PAGES = 500
-BATCH = 128
+BLOCKS_AT_ONCE = 4096
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input svg math mi mn mo ms mrow msup msub mfrac mtext semantics annotation object iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPE = frozenset("html body div article section main aside nav header footer table ul ol dl form td th select blockquote".split())
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of each leaf block with text, in order; text is decoded
-    and its white space is single spaces."""
-    found, stack, parts, linked, at = [], [], [], 0, 0
+def blocks(page: str) -> list[tuple[int, str, str, int]]:
+    """(path, innermost word, text, characters inside links) of each leaf block with text, in order.  A path is the set of
+    the hashed words of its tags, as bits; text is decoded and its white space is single spaces."""
+    found, stack, parts, linked, at = [], [], [], 0, 0  # stack: (tag, path, innermost word)
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                path = tuple(w for _, words in stack for w in words)
-                found.append((path, text, min(linked, len(text))))
+                _, path, last = stack[-1] if stack else ("", 0, "")
+                found.append((path, last, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def close(names: set[str], scope: frozenset) -> None:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
+                opened.subtract(t for t, _, _ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in scope:
                 return
 
-    for m in TOKEN.finditer(page):
+    end = page.rfind(">") + 1  # what follows the last of these holds no tag
+    for m in TOKEN.finditer(page, 0, end):
         if m.start() > at:
             parts.append(page[at : m.start()])
-            if stack and any(tag == "a" for tag, _ in stack[-3:]):
+            if stack and any(tag == "a" for tag, _, _ in stack[-3:]):
                 linked += m.start() - at
         at = m.end()
         tag = m[3]
@@ -86,47 +94,51 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.append(" ")
             continue
         if m[2]:
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 close({tag}, frozenset())
             continue
         if tag not in INLINE:
             if tag in CLOSES:
-                close(CLOSES[tag], SCOPE - CLOSES[tag])
-            elif any(t == "p" for t, _ in stack):
+                if any(opened[t] for t in CLOSES[tag]):
+                    close(CLOSES[tag], SCOPE - CLOSES[tag])
+            elif opened["p"]:
                 close({"p"}, SCOPE)
         if tag not in VOID and not m[0].endswith("/>"):
             words = [f"<{tag}>"]
             if m[4]:
                 for a in ATTRIBUTE.finditer(m[4]):
                     words += re.findall(r"[a-z]+", (a[1] or a[2] or a[3] or "").lower())
-            stack.append((tag, words))
+            path = stack[-1][1] if stack else 0
+            for w in words:
+                path |= 1 << crc32(w.encode()) % PATH
+            stack.append((tag, path, words[-1]))
+            opened[tag] += 1
     if at < len(page):
         parts.append(page[at:])
     flush()
     return found
 
 
-def features(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """One row a block."""
-    n = len(found)
-    x = np.zeros((n, INPUT), np.float32)
+def features(found: list[tuple[int, str, str, int]], first: int = 0, last: int | None = None) -> np.ndarray:
+    """One row a block, of the blocks from first to last (without it) of a page."""
+    n, own_blocks = len(found), found[first:last]
+    x = np.zeros((len(own_blocks), INPUT), np.float32)
     paths, words, owner = {}, [], []
-    for k, (path, text, linked) in enumerate(found):
-        row = paths.get(path)
+    for k, (path, innermost, text, linked) in enumerate(own_blocks):
+        row = paths.get((path, innermost))
         if row is None:
-            row = np.zeros(PATH, np.float32)
-            for w in path:
-                row[crc32(w.encode()) % PATH] = 1
-            if path:
-                row[crc32(path[-1].encode() + b"/") % PATH] += 0.5
-            paths[path] = row
+            row = np.array([path >> b & 1 for b in range(PATH)], np.float32)
+            if innermost:
+                row[crc32(innermost.encode() + b"/") % PATH] += 0.5
+            paths[path, innermost] = row
         x[k, :PATH] = row
         own = [crc32(w) % WORDS for w in text.lower().encode("utf-8", "surrogatepass").split()]
         words += own
         owner.append(len(own))
-        x[k, PATH + WORDS :] = (len(text) / 400 if len(text) < 2000 else 5, len(own) / 60 if len(own) < 300 else 5, linked / len(text), (text.count(".") + text.count(",")) / len(own), k / n, 1 / (1 + k), 1 / (n - k), text[-1] in ".!?")
+        at = first + k
+        x[k, PATH + WORDS :] = (len(text) / 400 if len(text) < 2000 else 5, len(own) / 60 if len(own) < 300 else 5, linked / len(text), (text.count(".") + text.count(",")) / len(own), at / n, 1 / (1 + at), 1 / (n - at), text[-1] in ".!?")
     if words:
-        counts = np.bincount(np.repeat(np.arange(n), owner) * WORDS + np.array(words), minlength=n * WORDS).reshape(n, WORDS)
+        counts = np.bincount(np.repeat(np.arange(len(own_blocks)), owner) * WORDS + np.array(words), minlength=len(own_blocks) * WORDS).reshape(-1, WORDS)
         x[:, PATH : PATH + WORDS] = np.sqrt(counts / counts.sum(1, keepdims=True))
     return x
 
@@ -138,9 +150,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool):
-    """x (steps, rows, inputs) -> hidden states; with keep also what the backward pass needs."""
-    h, c = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros((x.shape[1], HIDDEN), np.float32)
+def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool, state: list | None = None):
+    """x (steps, rows, inputs) -> hidden states; with keep also what the backward pass needs.  A state (h, c) is
+    where the steps go on from; it is left as they end."""
+    h, c = state or (np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros((x.shape[1], HIDDEN), np.float32))
     states, kept, pre = np.zeros((*x.shape[:2], HIDDEN), np.float32), [], x @ w + b
     for t in range(len(x)):
         z = pre[t] + h @ u
@@ -154,6 +167,8 @@ def run_lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: n
             kept.append((h, c, i, f, o, g, tanh_c, on))
         h, c = new_h, new_c
         states[t] = h
+    if state is not None:
+        state[:] = h, c
     return states, kept
 
 
@@ -219,14 +234,35 @@ def label(pages: list[np.ndarray], p: dict[str, np.ndarray]) -> list[np.ndarray]
     """Whether each block is main text; pages of like length go through together."""
     out: list = [np.zeros(0, bool)] * len(pages)
     order = [k for k in sorted(range(len(pages)), key=lambda k: len(pages[k])) if len(pages[k])]
-    for at in range(0, len(order), BATCH):
-        own = order[at : at + BATCH]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(pages[order[end]]) <= BLOCKS_AT_ONCE:
+            end += 1
+        own = order[at:end]
         z = forward(*padded([pages[k] for k in own]), p)[0]
         for k, page in enumerate(own):
             out[page] = z[: len(pages[page]), k] > 0
+        at = end
     return out
 
 
+def label_long(found: list, p: dict[str, np.ndarray], size: int = BLOCKS_AT_ONCE) -> np.ndarray:
+    """The labels of one page's blocks, by pieces of the given size."""
+    fresh = lambda: [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+    z, state = np.zeros(len(found), np.float32), fresh()
+    for at in range(0, len(found), size):
+        x = features(found, at, at + size)[:, None]
+        a, _ = run_lstm(x, np.ones(x.shape[:2], bool), p["wa"], p["ua"], p["ba"], False, state)
+        z[at : at + size] = (a @ p["v"][:HIDDEN] + x @ p["s"] + p["d"])[:, 0]
+    state = fresh()
+    for at in reversed(range(0, len(found), size)):
+        x = features(found, at, at + size)[::-1, None]
+        b, _ = run_lstm(x, np.ones(x.shape[:2], bool), p["wb"], p["ub"], p["bb"], False, state)
+        z[at : at + size] += (b @ p["v"][HIDDEN:])[::-1, 0]
+    return z > 0
+
+
 # --- training pages --------------------------------------------------------------------------------
 
 
@@ -347,7 +383,7 @@ def examples(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     xs, ys = [], []
     for page, roles in training_pages(n, seed):
         found = blocks(page)
-        if [t for _, t, _ in found] == [t for _, t in roles if t]:
+        if [t for _, _, t, _ in found] == [t for _, t in roles if t]:
             xs.append(features(found))
             ys.append(np.array([main for main, t in roles if t], np.float32))
     return xs, ys
@@ -362,14 +398,27 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html, ...) -> (page_id, url, text, n_chars)."""
     p = network()
 
+    def labelled(pages: list[tuple]) -> pd.DataFrame:
+        marks = label([features(found) for _, _, found in pages if len(found) <= BLOCKS_AT_ONCE], p)
+        short, texts = iter(marks), []
+        for _, _, found in pages:
+            main = next(short) if len(found) <= BLOCKS_AT_ONCE else label_long(found, p)
+            texts.append(" ".join(b[2] for b, y in zip(found, main, strict=True) if y))
+        ids = pd.array([None if pd.isna(i) else int(i) for i, _, _ in pages], dtype="Int64")
+        return pd.DataFrame({"page_id": ids, "url": [u for _, u, _ in pages], "text": texts, "n_chars": [len(t) for t in texts]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                found = [blocks(h) if h else [] for h in part["html"]]
-                labels = label([features(f) for f in found], p)
-                texts = [" ".join(t for (_, t, _), main in zip(f, y, strict=True) if main) for f, y in zip(found, labels, strict=True)]
-                yield pd.DataFrame({"page_id": part["page_id"].astype("Int64").to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]}).astype({"page_id": "Int64"})
+            for page_id, url, page in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], strict=True):
+                found = blocks(page) if page else []
+                held.append((page_id, url, found))
+                size += 1 + len(found)
+                if size >= 8 * BLOCKS_AT_ONCE:
+                    yield labelled(held)
+                    held, size = [], 0
+        if held:
+            yield labelled(held)
 
     plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return plain.mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -315,6 +315,23 @@ def test_html(spark):
     assert Counter(map(tuple, got)) == Counter([(1, "u", text, len(text)), (2, "u", "", 0), (3, "u", "", 0), (None, None, text, len(text)), (1, "u", text, len(text))])
 
 
+def test_html_of_long_deep_and_odd_pages(spark):
+    p = html_blocks.network()
+    for page, _ in html_blocks.training_pages(40, 78):
+        found = html_blocks.blocks(page)
+        if found:
+            assert (html_blocks.label_long(found, p, 3) == html_blocks.label([html_blocks.features(found)], p)[0]).all()
+    frame_of = lambda inner: f"<html><body><nav><ul><li><a href=/x>Menu</a></li><li><a href=/y>Other</a></li></ul></nav><article><h1>A title</h1>{inner}</article><footer>&copy; somebody</footer></body></html>"
+    body = [f"Paragraph {k} of a long article, with some words in it." for k in range(20_000)]
+    rows = [(1, "u", frame_of("".join(f"<p>{t}</p>" for t in body))), (2, "u", frame_of("<p>The area is <math><mi>a</mi><mo>=</mo><mi>b</mi></math> here, as every one of us knows.</p>")),
+            (3, "u", "<div>" * 30_000 + "text" + "</p>" * 30_000), (4, "u", "<a " * 200_000), (5, "u", "no markup at all"), (6, "u", None)]
+    got = {r.page_id: r.text for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept = got[1].count("Paragraph")
+    assert kept > 19_900 and "Menu" not in got[1] and "somebody" not in got[1]
+    assert "a=b here" in got[2] and len(got) == 6 and got[6] == ""
+    assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 def test_html_gradients():
     rng = np.random.default_rng(0)
     x, mask = rng.standard_normal((4, 2, 3)).astype(np.float32), np.array([[1, 1], [1, 1], [1, 0], [1, 0]], bool)
