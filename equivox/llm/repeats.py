@@ -1,28 +1,28 @@
 """Suffix-array dedup: bytes that repeat a string of ``LENGTH`` bytes of a smaller document go.
 
-Candidate search.  Every string of LENGTH bytes holds LENGTH - GRAM + 1 grams of GRAM bytes; the one
-of least hash (the leftmost of equals) is its anchor, so equal strings have equal anchors in equal
-places.  Neighbouring strings share anchors: the stretch of text whose strings have one anchor is its
-span.  Anchors are dealt to buckets by the gram's hash.  In a bucket, anchors with equal spans are one
-class; all but the members of its smallest document are repeats as a whole.  Of each class one member
-is left whose strings may repeat those of other classes of the same anchor (these are the edges of
-repeats and grams that are frequent by chance); only their spans travel as text.
-
-Suffix array.  Those spans make up the text of a bucket.  Its suffixes are sorted, the lengths of
-common prefixes of neighbours found, and a stack scan over them yields the intervals of the
-common-prefix tree: an interval of at least LENGTH bytes is a set of all occurrences of one repeat.
-``maximal_repeats`` is the general operator: it keeps the intervals whose occurrences are preceded by
-different bytes (or start a text), so that no repeat can be extended to either side, and returns
-all occurrences.  The dedup asks for the outermost intervals of at least LENGTH bytes, and marks the
-occurrences in other than the smallest document.
-
-Texts are packed into blocks and stay where they are; anchors (14 bytes, about one for 14 bytes of text)
-and answers travel.  Within a block equal spans are merged first, so a group of copies sends each
-anchor once a block.
+Dealing.  Every string of LENGTH bytes holds LENGTH - GRAM + 1 grams of GRAM bytes; the one of least hash (the
+leftmost of equals) is its anchor, so equal strings have equal anchors in equal places.  Neighbouring strings share
+anchors: the stretch of text whose strings have one anchor is its span.  Anchors are dealt to buckets by the gram's
+hash, so all occurrences of a string meet in one bucket.  There, anchors of equal grams and spans (by 88 bits of
+hashes and the bucket) are one class; the text of a class is sent once, by one of its members, if the class has
+members in several documents or its gram has classes that begin in different documents.
+
+Suffix array.  The spans of a bucket's classes are its texts.  Their suffixes are sorted, the lengths of common
+prefixes of neighbours found, and one scan with a stack builds the common-prefix interval tree from the inner
+intervals out; each takes along the smallest document of its occurrences and whether these are preceded by different
+bytes (or start a text).  Intervals of at least LENGTH bytes that are so are the maximal repeats: strings with all
+their occurrences that can't be extended to either side.  (A class of several documents is a leaf that stands for
+several occurrences: its whole span is a repeat.)  Every string of LENGTH bytes that occurs twice lies in a maximal
+repeat with the same occurrences, so what goes is read off these groups: their occurrences in other than the smallest
+document.  ``maximal_repeats`` lists the same groups of whole texts, of any length.
+
+Texts are packed into blocks and stay where they are; anchors (11 bytes, about one for 15 bytes of text), members of
+classes and answers travel.  Within a block equal spans are merged first, so a group of copies sends each anchor once
+a block.  A very frequent gram keeps its classes (distinct spans, not copies) in one bucket.
 
 Nulls and edge cases: a null text is empty; rows of one doc_id never remove each other; a null doc_id
-counts as larger than all others; texts under LENGTH bytes lose nothing; an empty table gives an empty
-result; other columns are ignored.
+counts as larger than all others (equal to the largest long); texts under LENGTH bytes lose nothing; very long texts
+are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ from equivox.llm.session import cut
 LENGTH = 50
 GRAM = 24
 WIDTH = LENGTH - GRAM + 1
+WIDEST = LENGTH + WIDTH - 1  # bytes of a span
 BLOCK = 4 << 20
 CHUNK = 1 << 19
 LAST = (1 << 63) - 1
@@ -51,43 +52,53 @@ U = np.uint64
 # --- the enhanced suffix array ---------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of the text from there, compared on depth bytes, and the lengths of the
-    common prefixes with the one before (depth at most).  Beyond its end a text goes on in zeros."""
+def suffix_array(text: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at starts, each of as many bytes as left says (WIDEST at most), and the lengths of
+    the common prefixes with the one before."""
     if not len(starts):
         return starts, np.empty(0, np.int64)
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(WIDEST + 8, np.uint8)]), 8)
     keys = []
-    for at in range(0, depth, 8):
+    for at in range(0, WIDEST, 8):
         part = np.ascontiguousarray(words[starts + at]).view(">u8").ravel().astype(U)
-        keys.append(part if at + 8 <= depth else part >> U(8 * (at + 8 - depth)) << U(8 * (at + 8 - depth)))
-    order = np.lexsort(keys[::-1])
+        beyond = (8 * (8 - np.clip(left - at, 0, 8))).astype(U)  # bits after the suffix's end count as zero
+        keys.append(np.where(beyond < U(64), part >> np.minimum(beyond, U(63)) << np.minimum(beyond, U(63)), U(0)))
+    order = np.lexsort([left, *keys[::-1]])  # an end comes before a zero byte
     lcp, same = np.zeros(len(starts), np.int64), np.ones(len(starts) - 1, bool)
     for key in keys:
         key = key[order]
         differ = key[1:] ^ key[:-1]
-        # bytes in common: four or eight less those from the highest differing bit down
+        # bytes in common: eight less those from the highest differing bit down
         high, low = (differ >> U(32)).astype(float), (differ & U(0xFFFFFFFF)).astype(float)
         bits = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1])
         lcp[1:] += np.where(same, 8 - (bits + 7) // 8, 0)
         same &= differ == 0
-    return starts[order], np.minimum(lcp, depth)
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(left[order][1:], left[order][:-1]))
+    return order, lcp
 
 
-def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-    """(length, first, last) of all intervals of the common-prefix tree of at least `least` bytes, inner
-    ones first, by one scan with a stack."""
-    stack: list[tuple[int, int]] = []
+def maximal(lcp: list[int], doc: list[int], before: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(length, first, last, smallest document) of the intervals of the common-prefix tree of at least `least` bytes
+    whose suffixes are preceded by different bytes (before: the byte, or -1 at the start of a text), inner ones
+    first, by one scan with a stack.  What is known of an interval is gathered from its children as they close."""
+    stack: list[list[int]] = []  # length, first, smallest document, byte before all or -1
     for k in range(1, len(lcp) + 1):
         value = lcp[k] if k < len(lcp) else -1
-        first = k - 1
+        first, smallest, byte = k - 1, doc[k - 1], before[k - 1]
         while stack and stack[-1][0] > value:
-            length, first = stack.pop()
-            if length >= least:
-                yield length, first, k - 1
-        if value >= least and (not stack or stack[-1][0] < value):
-            stack.append((value, first))
+            length, first, own, own_byte = stack.pop()
+            smallest = min(smallest, own)
+            byte = byte if byte == own_byte else -1
+            if byte < 0:
+                yield length, first, k - 1, smallest
+        if value < least:
+            continue
+        if stack and stack[-1][0] == value:
+            top = stack[-1]
+            top[2] = min(top[2], smallest)
+            top[3] = byte if byte == top[3] else -1
+        else:
+            stack.append([value, first, smallest, byte])
 
 
 def whole_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,12 +139,11 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tu
     offsets = np.cumsum(sizes + 1) - sizes - 1
     text, order, lcp = whole_order(texts)
     of = np.searchsorted(offsets, order, side="right") - 1
+    before = np.where(order > offsets[of], text[order - 1], -1)
     found = []
-    for length, first, last in intervals(lcp.tolist(), least):
-        at = order[first : last + 1]
-        inner = at > offsets[of[first : last + 1]]
-        if not inner.all() or len(np.unique(text[at - 1])) > 1:
-            found.append((texts[of[first]][at[0] - offsets[of[first]] :][:length], sorted((int(of[k]), int(order[k] - offsets[of[k]])) for k in range(first, last + 1))))
+    for length, first, last, _ in maximal(lcp.tolist(), of.tolist(), before.tolist(), least):
+        at = order[first]
+        found.append((texts[of[first]][at - offsets[of[first]] :][:length], sorted((int(of[k]), int(order[k] - offsets[of[k]])) for k in range(first, last + 1))))
     return found
 
 
@@ -213,43 +223,44 @@ class Block:
         self.class_of = np.empty(len(order), np.int64)
         self.class_of[order] = np.cumsum(first) - 1
         self.sent = order[first]
-        self.whole = whole
+        self.whole, self.nulls = whole, np.frombuffer(row["nulls"], bool)
         self.later = self.doc > self.doc[self.sent][self.class_of] if len(order) else first
 
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The classes in the order of their buckets, and where each bucket's begin."""
+        """The classes in the order of their buckets and documents, and where each bucket's begin."""
         of = (self.gram[self.sent] >> U(20)) % U(n)
-        order = np.argsort(of, kind="stable")
+        order = np.lexsort((self.doc[self.sent], of))
         return order, np.searchsorted(of[order], np.arange(n + 1, dtype=U))
 
 
 def packed(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """docs -> (block, ids, sizes, payload): texts in blocks of about size bytes, compressed."""
+    """docs -> (block, ids, nulls, sizes, payload): texts in blocks of about size bytes, compressed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, number, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        task, number, ids, nulls, texts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def block() -> pd.DataFrame:
             sizes = np.array([len(t) for t in texts], np.int64)
-            payload = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-            return pd.DataFrame({"block": [task << 24 | number], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()], "payload": [payload]})
+            payload = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            return pd.DataFrame({"block": [task << 24 | number], "ids": [np.array(ids, np.int64).tobytes()], "nulls": [np.array(nulls, bool).tobytes()], "sizes": [sizes.tobytes()], "payload": [payload]})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, null, text in zip(batch["doc_id"], batch["missing"], batch["text"], strict=True):
                 ids.append(doc_id)
+                nulls.append(null)
                 texts.append(text.encode("utf-8", "surrogatepass"))
                 held += len(texts[-1])
                 if held >= size:
                     yield block()
-                    number, ids, texts, held = number + 1, [], [], 0
+                    number, ids, nulls, texts, held = number + 1, [], [], [], 0
         if texts:
             yield block()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"))
-    return plain.mapInPandas(run, "block long, ids binary, sizes binary, payload binary")
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("doc_id").cast("long").isNull().alias("missing"), text.alias("text"))
+    return plain.mapInPandas(run, "block long, ids binary, nulls binary, sizes binary, payload binary")
 
 
 def narrow(x: np.ndarray, width: int) -> bytes:
@@ -263,6 +274,17 @@ def widen(x: bytes, width: int) -> np.ndarray:
     return out.view(U).ravel()
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers, as the bytes of their differences in order of weight, compressed."""
+    planes = np.diff(x.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def loose(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel().cumsum()
+
+
 def anchors_out(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -272,87 +294,108 @@ def anchors_out(n: int):
                 out = []
                 for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
                     own = block.sent[order[ends[k] : ends[k + 1]]]
-                    ids, index = np.unique(block.doc[own], return_inverse=True)
-                    out.append((k, row["block"], narrow(block.gram[own], 6), narrow(block.whole[own], 6), index.astype(np.uint32).tobytes(), ids.tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "block", "gram", "span", "doc", "ids"])
+                    ids, times = np.unique(block.doc[own], return_counts=True)
+                    out.append((k, row["block"], narrow(block.gram[own], 5), narrow(block.whole[own], 6), squeezed(ids), squeezed(times)))
+                yield pd.DataFrame(out, columns=["bucket", "block", "gram", "span", "ids", "times"])
 
     return run
 
 
 def judged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The anchors of one bucket -> for each block the numbers of those that are repeats as a whole (times
-    2) and of those whose text is wanted (times 2 plus 1)."""
-    counts = [len(x) // 6 for x in pdf["gram"]]
-    gram, span = widen(b"".join(pdf["gram"]), 6), widen(b"".join(pdf["span"]), 6)
-    doc = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint32)] for d, i in zip(pdf["doc"], pdf["ids"], strict=True)])
+    """The anchors of one bucket -> for each block its members of classes that may hold a repeat: their numbers,
+    classes and documents, and which of them send their class's text."""
+    counts = [len(x) // 5 for x in pdf["gram"]]
+    gram, span = widen(b"".join(pdf["gram"]), 5), widen(b"".join(pdf["span"]), 6)
+    doc = np.concatenate([np.repeat(loose(i), loose(t)) for i, t in zip(pdf["ids"], pdf["times"], strict=True)])
     order = np.lexsort((doc, span, gram))
     g, s, d = gram[order], span[order], doc[order]
     new_gram = np.r_[True, g[1:] != g[:-1]]
     new_class = new_gram | np.r_[True, s[1:] != s[:-1]]
-    first = d[np.flatnonzero(new_class)][np.cumsum(new_class) - 1]
-    group = np.cumsum(new_gram) - 1
-    at = np.flatnonzero(new_gram)
-    mixed_docs = (np.minimum.reduceat(first, at) != np.maximum.reduceat(first, at))[group]
-    code = np.zeros(len(order), np.uint8)
-    code[order] = np.where(d > first, 1, np.where(mixed_docs, 2, 0))
-    ends = np.cumsum(counts)
-    out = []
-    for block, end, n, bucket in zip(pdf["block"], ends, counts, pdf["bucket"], strict=True):
-        own = code[end - n : end]
-        some = np.flatnonzero(own)
+    at, class_of = np.flatnonzero(new_class), np.cumsum(new_class) - 1
+    first, several = d[at], np.maximum.reduceat(d, at) > d[at]
+    gram_at, gram_of = np.flatnonzero(new_gram[at]), np.cumsum(new_gram[at]) - 1
+    differ = np.minimum.reduceat(first, gram_at) != np.maximum.reduceat(first, gram_at)
+    chosen = several | differ[gram_of]
+    number_of = np.cumsum(chosen) - 1  # classes that may hold a repeat count from zero
+    member, sends = np.full(len(order), -1, np.int64), np.zeros(len(order), bool)
+    member[order] = np.where(chosen, number_of, -1)[class_of]
+    sends[order[at]] = chosen
+    out, begin = [], 0
+    for block, n, bucket in zip(pdf["block"], counts, pdf["bucket"], strict=True):
+        some = np.flatnonzero(member[begin : begin + n] >= 0)
         if len(some):
-            out.append((block, bucket, (some * 2 + own[some] - 1).astype(np.uint32).tobytes()))
-    return pd.DataFrame(out, columns=["block", "bucket", "found"])
+            own = begin + some
+            out.append((bucket, block, squeezed(some), squeezed(member[own]), squeezed(doc[own]), np.packbits(sends[own]).tobytes()))
+        begin += n
+    return pd.DataFrame(out, columns=["bucket", "block", "number", "class", "doc", "sends"])
 
 
 def wanted_text(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                if row["answers"] is None or not len(row["answers"]):
+                if row["wanted"] is None or not len(row["wanted"]):
                     continue
                 block = Block(row)
                 order, ends = block.buckets(n)
                 out = []
-                for answer in row["answers"]:
-                    found = np.frombuffer(answer["found"], np.uint32).astype(np.int64)
-                    number = found[found % 2 == 1] // 2
-                    if len(number):
-                        own = block.sent[order[ends[answer["bucket"]] + number]]
+                for asked in row["wanted"]:
+                    number = loose(asked["number"])
+                    sends = np.unpackbits(np.frombuffer(asked["sends"], np.uint8), count=len(number)).astype(bool)
+                    if sends.any():
+                        own = block.sent[order[ends[asked["bucket"]] + number[sends]]]
                         sizes = block.hi[own] - block.lo[own] + LENGTH
                         text = b"".join(block.text[a : a + m].tobytes() for a, m in zip(block.lo[own].tolist(), sizes.tolist(), strict=True))
-                        out.append((answer["bucket"], row["block"], number.astype(np.uint32).tobytes(), sizes.astype(np.uint8).tobytes(), block.doc[own].tobytes(), text))
-                yield pd.DataFrame(out, columns=["bucket", "block", "number", "sizes", "doc", "text"])
+                        out.append((asked["bucket"], squeezed(loose(asked["class"])[sends]), sizes.astype(np.uint8).tobytes(), zstandard.ZstdCompressor(level=3).compress(text)))
+                yield pd.DataFrame(out, columns=["bucket", "class", "sizes", "text"])
 
     return run
 
 
-def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The wanted spans of one bucket -> which of their strings repeat one of a smaller document: a bit each."""
-    sizes = np.frombuffer(b"".join(pdf["sizes"]), np.uint8).astype(np.int64)
-    doc = np.frombuffer(b"".join(pdf["doc"]), np.int64)
-    text = np.frombuffer(b"".join(pdf["text"]), np.uint8)
-    number = np.frombuffer(b"".join(pdf["number"]), np.uint32)
-    offsets = np.cumsum(sizes) - sizes
-    strings = sizes - LENGTH + 1
+def repeated(members: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """The members and texts of one bucket's classes -> which of the members' strings repeat one of a smaller
+    document: a bit each."""
+    if not len(members):
+        return pd.DataFrame([], columns=["block", "bucket", "number", "mask"])
+    numbers, docs = [loose(x) for x in members["number"]], np.concatenate([loose(x) for x in members["doc"]])
+    class_of = np.concatenate([loose(x) for x in members["class"]])
+    first = np.full(class_of.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, class_of, docs)
+    sent = np.concatenate([loose(x) for x in texts["class"]])
+    sizes = np.frombuffer(b"".join(texts["sizes"]), np.uint8).astype(np.int64)
+    text = np.frombuffer(b"".join(zstandard.decompress(x) for x in texts["text"]), np.uint8)
+    offsets, strings = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
+    base = np.cumsum(strings) - strings  # the place of each span's first string among all strings
     span = np.repeat(np.arange(len(sizes)), strings)
-    shift = np.arange(len(span)) - np.repeat(np.cumsum(strings) - strings, strings)
-    order, lcp = suffix_array(text, offsets[span] + shift, LENGTH)
-    of = np.searchsorted(offsets, order, side="right") - 1
-    # the outermost intervals of LENGTH bytes: runs of common prefixes that long
-    first = np.flatnonzero(np.r_[lcp < LENGTH]) if len(lcp) else np.empty(0, int)
-    mask = np.zeros(len(sizes), np.int64)
-    if len(first):
-        least = np.minimum.reduceat(doc[of], first)[np.cumsum(lcp < LENGTH) - 1]
-        hit = doc[of] > least
-        np.bitwise_or.at(mask, of[hit], np.int64(1) << (order[hit] - offsets[of[hit]]))
-    ends = np.cumsum([len(x) // 4 for x in pdf["number"]])
-    out, begin = [], 0
-    for block, bucket, end in zip(pdf["block"], pdf["bucket"], ends.tolist(), strict=True):
-        own = np.flatnonzero(mask[begin:end])
-        if len(own):
-            out.append((block, bucket, number[begin:end][own].tobytes(), mask[begin:end][own].astype(np.uint32).tobytes()))
-        begin = end
+    shift = np.arange(len(span)) - base[span]
+    starts = offsets[span] + shift
+    order, lcp = suffix_array(text, starts, sizes[span] - shift)
+    # the scan needs the stretches of common prefixes of LENGTH bytes only
+    near = np.append(lcp >= LENGTH, False)
+    kept = np.flatnonzero(near[:-1] | near[1:])
+    leaf = order[kept]
+    before = np.where(shift[leaf] > 0, text[starts[leaf] - 1].astype(np.int64), -1)
+    groups = np.array(list(maximal(lcp[kept].tolist(), first[sent][span[leaf]].tolist(), before.tolist(), LENGTH)), dtype=np.int64).reshape(-1, 4)
+    smallest = first[sent][span]  # for each string the smallest document that has it; a class is a group by itself
+    length, begin, count = groups[:, 0], groups[:, 1], groups[:, 2] - groups[:, 1] + 1
+    of = np.repeat(np.arange(len(groups)), count)
+    at = leaf[np.repeat(begin, count) + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)]
+    for k in range(WIDTH):  # an occurrence of a repeat holds all its strings
+        some = length[of] >= LENGTH + k
+        np.minimum.at(smallest, at[some] + k, groups[of[some], 3])
+    place = np.empty(len(first), np.int64)
+    place[sent] = np.arange(len(sent))
+    own = place[class_of]
+    mask = np.zeros(len(docs), np.int64)
+    for k in range(WIDTH):
+        some = np.flatnonzero(strings[own] > k)
+        mask[some] |= (smallest[base[own[some]] + k] < docs[some]).astype(np.int64) << k
+    out, done = [], 0
+    for block, bucket, number in zip(members["block"], members["bucket"], numbers, strict=True):
+        bits = mask[done : done + len(number)]
+        done += len(number)
+        if bits.any():
+            out.append((block, bucket, squeezed(number[bits != 0]), squeezed(bits[bits != 0])))
     return pd.DataFrame(out, columns=["block", "bucket", "number", "mask"])
 
 
@@ -362,29 +405,26 @@ def finished(n: int):
             for row in batch.to_dict("records"):
                 block = Block(row)
                 order, ends = block.buckets(n)
-                whole, masks = np.zeros(len(block.sent), bool), np.zeros(len(block.sent), np.int64)
-                for answer in row["answers"] if row["answers"] is not None else []:
-                    found = np.frombuffer(answer["found"], np.uint32).astype(np.int64)
-                    whole[order[ends[answer["bucket"]] + found[found % 2 == 0] // 2]] = True
+                masks = np.zeros(len(block.sent), np.int64)
                 for answer in row["parts"] if row["parts"] is not None else []:
-                    masks[order[ends[answer["bucket"]] + np.frombuffer(answer["number"], np.uint32).astype(np.int64)]] = np.frombuffer(answer["mask"], np.uint32)
+                    masks[order[ends[answer["bucket"]] + loose(answer["number"])]] = loose(answer["mask"])
                 edge = np.zeros(len(block.text) + 1, np.int64)
-                full = block.later | whole[block.class_of] if len(block.sent) else np.empty(0, bool)
-                np.add.at(edge, block.lo[full], 1)
-                np.add.at(edge, block.hi[full] + LENGTH, -1)
-                part = np.flatnonzero(~full & (masks[block.class_of] != 0)) if len(block.sent) else np.empty(0, int)
-                for shift in range(WIDTH):
-                    start = block.lo[part[masks[block.class_of[part]] >> shift & 1 == 1]] + shift
+                later = block.later  # a smaller document of the block has the same span
+                np.add.at(edge, block.lo[later], 1)
+                np.add.at(edge, block.hi[later] + LENGTH, -1)
+                part = np.flatnonzero(~later & (masks[block.class_of] != 0)) if len(block.sent) else np.empty(0, int)
+                for k in range(WIDTH):
+                    start = block.lo[part[masks[block.class_of[part]] >> k & 1 == 1]] + k
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + LENGTH, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 out = []
-                for doc_id, o, m in zip(block.ids.tolist(), block.offsets.tolist(), block.sizes.tolist(), strict=True):
+                for doc_id, null, o, m in zip(block.ids.tolist(), block.nulls.tolist(), block.offsets.tolist(), block.sizes.tolist(), strict=True):
                     cut_, text = gone[o : o + m], block.text[o : o + m]
                     removed = int(cut_.sum())
                     runs = int(np.count_nonzero(cut_[1:] & ~cut_[:-1]) + cut_[0]) if removed else 0
                     kept = text[~cut_] if removed else text
-                    out.append((None if doc_id == LAST else doc_id, m, removed, runs, hashlib.sha256(kept.tobytes()).hexdigest()))
+                    out.append((None if null else doc_id, m, removed, runs, hashlib.sha256(kept.tobytes()).hexdigest()))
                 pdf = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
                 yield pdf.astype({"doc_id": "Int64"})
 
@@ -395,7 +435,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 4 * partitions
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     try:
         # a fixed plan keeps the blocks' partitioning, so that answers come to them and not they to the answers
@@ -403,14 +442,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         blocks = cut(packed(docs).repartition(partitions, "block"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    sent = blocks.mapInPandas(anchors_out(n), "bucket int, block long, gram binary, span binary, doc binary, ids binary")
-    answers = cut(sent.groupBy("bucket").applyInPandas(judged, "block long, bucket int, found binary"))
-    per_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "found")).alias("answers"))
-    answered = blocks.join(per_block, "block", "left")
-    texts = answered.mapInPandas(wanted_text(n), "bucket int, block long, number binary, sizes binary, doc binary, text binary")
-    parts = cut(texts.groupBy("bucket").applyInPandas(repeated, "block long, bucket int, number binary, mask binary"))
-    per_part = parts.groupBy("block").agg(F.collect_list(F.struct("bucket", "number", "mask")).alias("parts"))
-    return answered.join(per_part, "block", "left").mapInPandas(finished(n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    n = max(4 * partitions, blocks.count())  # buckets: about as large as blocks, or smaller
+    sent = blocks.mapInPandas(anchors_out(n), "bucket int, block long, gram binary, span binary, ids binary, times binary")
+    members = cut(sent.groupBy("bucket").applyInPandas(judged, "bucket int, block long, number binary, class binary, doc binary, sends binary"))
+    per_block = members.groupBy("block").agg(F.collect_list(F.struct("bucket", "number", "class", "sends")).alias("wanted"))
+    texts = blocks.join(per_block, "block", "left").mapInPandas(wanted_text(n), "bucket int, class binary, sizes binary, text binary")
+    marked = members.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInPandas(repeated, "block long, bucket int, number binary, mask binary")
+    per_part = cut(marked).groupBy("block").agg(F.collect_list(F.struct("bucket", "number", "mask")).alias("parts"))
+    return blocks.join(per_part, "block", "left").mapInPandas(finished(n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
