@@ -10,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH, DEFAULT, BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of rows on their way to Python hold at most 4 MiB (and a row), so that memory does not follow the
+    length of texts; another setting than Spark's own stays."""
+    if spark.conf.get(BATCH) == DEFAULT:
+        spark.conf.set(BATCH, BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shared(spark: SparkSession) -> str:
     """The folder for checkpoints, set if it was not."""
+    small_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")

@@ -30,17 +30,21 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equivox.llm.components import components
-from equivox.llm.session import cut, written
+from equivox.llm.session import bounded, cut, written
 
 SAMPLE = 5_000  # texts looked at to learn which shingles are common
 COMMON = 100_000  # of these so many at most are known by count
 SMALL = 32  # groups of so many texts are compared pair by pair
-CENTRES = 4  # of larger groups so many texts are compared with all others in the first round
+CENTRES = 4  # of larger groups so many texts are compared with all others at first
+PARTS = 64  # of the larger groups one part in so many goes first: near copies share many keys, and few connect them
+ROWS = 500  # of a batch looked at once
+BROADCAST_ROWS = 500_000  # a list of at most so many texts or rows, some MB, is broadcast
 PIECE = 1 << 18  # shingles counted at once, so that a huge text needs little memory
 
 
@@ -49,6 +53,13 @@ def node_of() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that little is held besides them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def hashed_shingles(text: str | None, words: int) -> np.ndarray:
     """The hashes of all runs of words, repeats included; a shorter text is one run, one without words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -75,13 +86,13 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fp long: the 64 bits, signed)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bits = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": bits.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            bits = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "fp"])
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInPandas(run, "doc_id long, fp long")
+    return plain.mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -187,11 +198,12 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """texts(node, text) -> (node, hs)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "hs": [shingle_set(t, words) for t in batch["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = pa.array([shingle_set(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "hs"])
 
-    return texts.mapInPandas(run, "node long, hs array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, hs array<long>")
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,11 +222,11 @@ def profiles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     in common.  Each text is a row once a task."""
     hs, ns = common_shingles(texts, words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
-            for node, text in zip(batch["node"].tolist(), batch["text"], strict=True):
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if node in seen:
                     continue
                 seen.add(node)
@@ -224,10 +236,12 @@ def profiles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                 often = np.where(hs[at] == own, ns[at], 0) if len(hs) else np.zeros(len(own), np.int64)
                 # texts without words have no shingle and are equal to each other
                 keys = own[np.lexsort((own, often))[: len(own) - least_shared(len(own), similarity) + 1]] if len(own) else np.zeros(1, np.int64)
-                rows.append((node, np.uint64(majority(hashes)).view(np.int64), len(own), keys))
-            yield pd.DataFrame(rows, columns=["node", "fp", "n", "keys"])
+                rows.append((node, int(np.uint64(majority(hashes)).view(np.int64)), len(own), keys))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "fp", "n", "keys"])
 
-    return texts.mapInPandas(run, "node long, fp long, n int, keys array<long>")
+    return texts.mapInArrow(run, "node long, fp long, n int, keys array<long>")
 
 
 def least_shared(n: int, similarity: float) -> int:
@@ -236,8 +250,8 @@ def least_shared(n: int, similarity: float) -> int:
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets of shingles have the similarity."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = written(shingle_sets(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), words))
+    wanted = written(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
+    sets = written(shingle_sets(texts.join(bounded(wanted, BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]), words))
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("hs").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("hs").alias("a")), "u")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
@@ -271,41 +285,55 @@ def near_texts(docs: DataFrame, words: int, similarity: float, radius: int = 3)
     """docs(text, ...) -> (node, root) for the texts that have a near copy.
 
     Links of the fingerprints come first.  Then texts that share a key and are not connected yet are compared: all
-    pairs of small groups; of a large one the first few texts with all others, then the next ones, twice as many
-    each round, until the group is connected or used up.  So no link is lost for connectivity, and a large group of
-    near copies costs a few rows for each text.
-
-    A pair shares at most as many of its shingles as keys it shares, and all that come after the keys of one of
-    the two: pairs for which that is too few are dropped before sets are compared (``shared_keys`` counts those of small
-    groups, ``large`` how many keys of a text are in large ones and may be shared)."""
+    pairs of small groups; of a large one the first few texts with all others, then the next ones, eight times as
+    many each round, until the group is connected or used up.  The first round takes a part of the large groups only.
+    So no link is lost for connectivity, and a large group of near copies costs a few rows for each text.
+
+    In large groups a pair is compared only where the key is among the first of the smaller text's keys that any text
+    at least as large shares (``inner``; n - ceil(2 s / (1 + s) n) + 1 of them for the similarity s); so texts that
+    have a frequent passage in common and little else do not meet.  A pair shares at most as many of its shingles as
+    keys it shares, and all that come after the keys of one of the two: pairs for which that is too few are dropped
+    before sets are compared (``shared_keys`` counts those of small groups, ``large`` how many keys of a text were in
+    large ones at first and may be shared)."""
     texts = docs.select(node_of().alias("node"), F.col("text").cast("string").alias("text"))
     found = written(profiles(texts, words, similarity))
     close = written(by_fingerprint(found.select("node", "fp", "n").distinct(), radius, similarity))
     labels = components(verified(close, texts, words, similarity))
     key = Window.partitionBy("key")
-    left = found.select(F.explode("keys").alias("key"), "node", "n").repartition("key").distinct().withColumn("g", F.count("*").over(key)).where("g > 1").drop("g")
-    left, centres = written(left), CENTRES
+    inner = F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9)
+    left = found.select("node", "n", F.posexplode("keys").alias("place", "key")).select("key", "node", "n", inner.alias("inner"))
+    left = written(left.repartition("key").distinct().withColumn("g", F.count("*").over(key)).where("g > 1"))
+    large = left.groupBy("node").agg(F.count_if(F.col("g") > SMALL).alias("large"))
+    left, parts, centres = left.drop("g").join(large, "node"), 1, CENTRES
     while True:
         named = left.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = named.withColumns({"g": F.count("*").over(key), "least": F.min("root").over(key), "most": F.max("root").over(key), "k": F.row_number().over(key.orderBy("node"))})
-        open_ = written(open_.where("least < most").drop("least", "most"))
+        order = key.orderBy(F.desc("inner"), "node")
+        open_ = named.withColumns({"g": F.count("*").over(key), "least": F.min("root").over(key), "most": F.max("root").over(key), "any": F.max("inner").over(key), "k": F.row_number().over(order)})
+        small = F.col("g") <= SMALL
+        open_ = open_.where((small | F.col("any")) & (F.col("least") < F.col("most"))).withColumn("now", small | (F.pmod(F.xxhash64("key"), F.lit(PARTS)) < parts))
+        open_ = written(open_.drop("least", "most", "any"))
         if open_.isEmpty():
             return labels
-        large = open_.groupBy("node").agg(F.count_if(F.col("g") > SMALL).alias("large"))
-        rows = open_.join(large, "node")
-        side = lambda x, y: rows.select("key", "g", "k", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), F.col("large").alias(f"l{x}"))  # noqa: B023, E731
-        a = side("u", "v").where((F.col("g") <= SMALL) | (F.col("k") <= centres)).drop("k")
-        pairs = a.join(side("v", "u").drop("g", "k"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
-        pairs = pairs.groupBy("u", "v", "nu", "nv", "lu", "lv").agg(F.count_if(F.col("g") <= SMALL).alias("shared_keys"))
+        rows = open_.where("now")
+        side = lambda x: rows.select("key", *[F.col(c).alias(c + x) for c in ("g", "k", "root", "inner", "n")], F.struct("node", "n", "large").alias(x))  # noqa: B023, E731
+        a = side("u").where((F.col("gu") <= SMALL) | (F.col("ku") <= centres))
+        met = (F.col("gu") <= SMALL) | F.when(F.col("nu") < F.col("nv"), F.col("inneru")).when(F.col("nu") > F.col("nv"), F.col("innerv")).otherwise(F.col("inneru") | F.col("innerv"))
+        pairs = a.join(side("v"), "key").where((F.col("ku") < F.col("kv")) & (F.col("rootu") != F.col("rootv")) & met)
+        pairs = pairs.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(F.count_if(F.col("gu") <= SMALL).alias("shared_keys"))
+        pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.n").alias("nu"), F.col("y.n").alias("nv"), F.col("x.large").alias("lu"), F.col("y.large").alias("lv"), "shared_keys")
         after = F.ceil(similarity * F.greatest("nu", "nv") - 1e-9) - 1  # shingles beyond the keys, of the one that has more
         most = F.least(F.least("nu", "nv"), F.col("shared_keys") + F.least("lu", "lv") + after)
         enough = most >= similarity * (F.col("nu") + F.col("nv") - most) - 1e-9
         pairs = written(pairs.where(enough | (F.greatest("nu", "nv") == 0)).select("u", "v"))
         labels = merged(labels, written(verified(pairs, texts, words, similarity)))
-        left = open_.where((F.col("g") > SMALL) & (F.col("k") > centres)).select("key", "node", "n")
+        left = open_.where(~small & (~F.col("now") | (F.col("k") > centres))).select("key", "node", "n", "inner", "large")
         if left.isEmpty():
             return labels
-        centres *= 2
+        if parts == 1:  # few texts are left after the first round
+            texts = written(texts.join(bounded(written(left.select("node").distinct()), BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"]))
+            parts = PARTS
+        else:
+            centres *= 8
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -330,13 +358,14 @@ def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3, similarit
     names = docs.columns
     whole = docs.select(F.struct(*names).alias("row"), node_of().alias("node"), F.col("doc_id").alias("id"))
     whole = whole.withColumn("row_key", F.md5(F.to_json("row")))
-    per_row = whole.groupBy("node", F.col("id").isNull().alias("last"), "id", "row_key").agg(F.count("*").alias("n"))
+    per_row = written(whole.groupBy("node", F.col("id").isNull().alias("last"), "id", "row_key").agg(F.count("*").alias("n")))
     first = F.min(F.struct("last", "id", "row_key", "n")).alias("first")
     per_text = per_row.groupBy("node").agg(first).join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first.*")
-    keep = cut(per_text.groupBy("root").agg(first).select("first.row_key", "first.n"))
-    once = whole.join(keep.where("n = 1"), "row_key", "left_semi").select("row.*")
+    keep = written(per_text.groupBy("root").agg(first).select("first.row_key", "first.n"))
+    gone = written(per_row.join(keep.where("n = 1"), "row_key", "left_anti").select("row_key"))
+    once = whole.join(bounded(gone, BROADCAST_ROWS), "row_key", "left_anti").select("row.*")
     repeated = keep.where("n > 1")
     if repeated.isEmpty():
         return once
-    rows = whole.join(repeated, "row_key", "left_semi")
+    rows = whole.join(bounded(repeated, BROADCAST_ROWS), "row_key", "left_semi")
     return once.unionByName(rows.dropDuplicates(["row_key"]).select("row.*"))

@@ -70,15 +70,22 @@ def trigrams(text: str) -> np.ndarray:
     return (k[:-2] * SIZE + k[1:-1]) * SIZE + k[2:]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that little is held besides them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def corpus_model(docs: DataFrame) -> np.ndarray:
     """log P(c | a, b), shape SIZE^3, from all texts: counted in each partition, summed by trigram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t for t in batch.column(0).to_pylist() if t]
-            for at in range(0, len(texts), 200):  # joined, as the breaks between texts are breaks between words
-                total += np.bincount(trigrams("  ".join(texts[at : at + 200])), minlength=SIZE**3)
+            for at in range(0, len(texts), 50):  # joined, as the breaks between texts are breaks between words
+                total += np.bincount(trigrams("  ".join(texts[at : at + 50])), minlength=SIZE**3)
         found = np.flatnonzero(total)
         for at in range(0, len(found), 100_000):
             part = found[at : at + 100_000]
@@ -236,7 +243,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list = []
-        for batch in batches:
+        for batch in pieces(batches):
             p = score(batch.column(2).to_pylist(), made)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= CUTOFF).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -252,7 +259,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list = []
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(score(batch.column(at).to_pylist(), made) < CUTOFF))
 
     return docs.mapInArrow(run, docs.schema)
