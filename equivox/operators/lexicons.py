@@ -68,7 +68,7 @@ def flatten_codes(systems: DataFrame) -> DataFrame:
 
 
 def cases(files: DataFrame) -> DataFrame:
-    """files(path, toml) -> (path, ok, id, title, cites, text): cites is the case's spec list, text all strings
+    """files(path, toml) -> (path, ok, id, title, cites, strings): cites is the case's spec list, strings all those
     of build and control; files that can't be read are kept with ok = false."""
 
     def strings(x) -> Iterator[str]:
@@ -85,35 +85,55 @@ def cases(files: DataFrame) -> DataFrame:
                     d = tomllib.loads(text)
                     c = d.get("case", {})
                     cites = c.get("spec", [])
-                    out.append((path, True, c.get("id", ""), c.get("title", ""), [cites] if isinstance(cites, str) else list(cites), " ".join([*strings(d.get("build", {})), *strings(d.get("control", {}))])))
+                    out.append((path, True, c.get("id", ""), c.get("title", ""), [cites] if isinstance(cites, str) else list(cites), [*strings(d.get("build", {})), *strings(d.get("control", {}))]))
                 except (tomllib.TOMLDecodeError, TypeError):
-                    out.append((path, False, None, None, [], None))
-            yield pd.DataFrame(out, columns=["path", "ok", "id", "title", "cites", "text"])
+                    out.append((path, False, None, None, [], []))
+            yield pd.DataFrame(out, columns=["path", "ok", "id", "title", "cites", "strings"])
 
-    return files.select("path", "toml").mapInPandas(run, "path string, ok boolean, id string, title string, cites array<string>, text string")
+    return files.select("path", "toml").mapInPandas(run, "path string, ok boolean, id string, title string, cites array<string>, strings array<string>")
 
 
 def dicom_prefix(cite: Column) -> Column:
-    """'PS3.5 §T6.2-1' -> 'PS3.5 Table 6.2-1'; notes and other parts give null."""
-    c = F.regexp_replace(F.regexp_replace(cite, "§", ""), r"\bAnnex ", "")
-    c = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r" T(\d)", " Table $1"))
-    return F.when(c.rlike(r"^PS3\.[57] ") & ~c.rlike(r"(?i)\bnote\b"), c)
+    """'PS3.5 §T6.2-1' -> 'PS3.5 Table 6.2-1'; other parts, and cites of a note alone, give null."""
+    c = F.trim(cite)
+    part, place = F.regexp_extract(c, r"^(PS3\.[57])\s", 1), F.regexp_replace(c, r"^\S+\s+§*\s*(?:Annex\s+)?", "")
+    place = F.trim(F.regexp_replace(place, r"^T(?=\d)", "Table "))
+    return F.when((part != "") & ~F.lower(place).startswith("note"), F.concat_ws(" ", part, place))
+
+
+def each_of(read: DataFrame, kind: str, values: Column) -> DataFrame:
+    return read.where("ok").select(F.lit(kind).alias("kind"), F.explode(values).alias("value"))
 
 
 def dicom_findings(read: DataFrame) -> DataFrame:
-    """cases -> findings(kind, value): prefixes, keywords, value representations."""
-    ok = read.where("ok")
-    prefixes = ok.select(F.explode("cites").alias("c")).select(F.lit("prefix").alias("kind"), dicom_prefix(F.col("c")).alias("value")).where("value is not null")
-    vr = ok.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", "id", "title"), F.lit(r"\b[A-Z]{2}\b"), F.lit(0))).alias("value")).where(F.col("value").isin(*VRS)).select(F.lit("vr").alias("kind"), "value")
+    """cases -> findings(kind, value): section prefixes cited; data element tags that the builds and controls name
+    (upper case) and fixed words, as keywords; value representations in ids and titles, whatever their case."""
+    prefixes = each_of(read, "prefix", F.transform("cites", dicom_prefix))
+    tags = each_of(read, "keyword", F.transform(F.filter("strings", lambda x: x.rlike("^[0-9A-Fa-f]{4},[0-9A-Fa-f]{4}$")), F.upper))
+    vr = each_of(read, "vr", F.regexp_extract_all(F.upper(F.concat_ws(" ", "id", "title")), F.lit(r"\b[A-Z]{2}\b"), F.lit(0))).where(F.col("value").isin(*VRS))
     words = read.sparkSession.createDataFrame([("keyword", k) for k in DICOM_KEYWORDS], "kind string, value string")
-    return prefixes.unionByName(vr).unionByName(words).distinct()
+    return prefixes.unionByName(tags).unionByName(vr).unionByName(words).where("value is not null").distinct()
+
+
+SECTION, INVARIANT = r"\d+(?:\.\d+)+", r"\b[a-z]{2,5}-\d+\b"  # fixed values
 
 
 def fhir_findings(read: DataFrame) -> DataFrame:
-    """cases -> findings(kind, value): section numbers, invariants, concepts of 3 to 40 characters."""
-    c = read.where("ok").select(F.explode("cites").alias("c"))
-    section = c.select(F.lit("section").alias("kind"), F.regexp_extract("c", r"\b(\d+(?:\.\d+)+)", 1).alias("value"))
-    inv = read.where("ok").select(F.explode(F.regexp_extract_all(F.concat_ws(" ", F.array_join("cites", " "), "text"), F.lit(r"\b[a-z]{2,5}-\d+\b"), F.lit(0))).alias("value")).select(F.lit("invariant").alias("kind"), "value")
-    name = F.trim(F.regexp_replace(F.regexp_replace("c", r"^FHIR( R\d\w?)?\s*", ""), r"^\d+(\.\d+)*\s*", ""))
-    concept = c.select(F.lit("concept").alias("kind"), name.alias("value")).where(F.length("value").between(3, 40))
-    return section.unionByName(inv).unionByName(concept).where("value != ''").distinct()
+    """cases -> findings(kind, value): section numbers and invariants cited, and what is left of a cite as a concept if it has 3
+    to 40 characters, a letter, and no bracket, slash or 'regex'."""
+    cites = lambda pattern: F.flatten(F.transform("cites", lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))))
+    name = F.trim(F.col("c"))
+    for pattern in (r"(?i)^(?:HL7\s+)?(?:FHIR|CDA)\s+(?:R\d\s+)?", r"(?i)\bsection\b|§", SECTION, r"\([^)]*\)", r"\s+"):
+        name = F.regexp_replace(name, pattern, "" if pattern.startswith("(?i)^") else " ")
+    name = F.regexp_replace(name, r"^[ .-]+|[ .-]+$", "")
+    concept = read.where("ok").select(F.explode("cites").alias("c")).select(F.lit("concept").alias("kind"), name.alias("value"))
+    concept = concept.where(F.length("value").between(3, 40) & ~F.col("value").rlike(r"(?i)\[|regex|/") & F.col("value").rlike("[A-Za-z]"))
+    return each_of(read, "section", cites(SECTION)).unionByName(each_of(read, "invariant", cites(INVARIANT))).unionByName(concept).distinct()
+
+
+def findings_lists(findings: DataFrame, read: DataFrame) -> DataFrame:
+    """(kind, n_cases, n, list): a row for each kind with its values in order and their number, and the number of
+    case files; write it with ``write.json``."""
+    counted = read.agg(F.count("*").alias("n_cases"))
+    lists = findings.groupBy("kind").agg(F.array_sort(F.collect_set("value")).alias("list"))
+    return lists.crossJoin(F.broadcast(counted)).select("kind", "n_cases", F.size("list").alias("n"), "list")

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINDING_ROWS = 20_000  # findings lists up to this length are broadcast
-KEYWORD_VR = r"(?i)value representation|\bvr\b"
 
 
 def small(df: DataFrame) -> DataFrame:

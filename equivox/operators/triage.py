@@ -49,8 +49,8 @@ def hits(tokens: Column, terms) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens, lambda w: w.isin(*terms))))
 
 
-def modal(text: Column, w: Weights) -> tuple[Column, Column]:
-    t = words(text)
+def modal(text: Column, w: Weights, split: Column | None = None) -> tuple[Column, Column]:
+    t = words(text) if split is None else split
     classes = {"obligation": OBLIGATION, "recommendation": RECOMMENDATION, "permission": PERMISSION}
     n = sum(one_of(t, terms).cast("int") for terms in classes.values())
     points = F.when(n >= 2, w.modal).when(one_of(t, RECOMMENDATION), w.weak).otherwise(0.0)
@@ -58,8 +58,12 @@ def modal(text: Column, w: Weights) -> tuple[Column, Column]:
     return points, reasons
 
 
-def vague(text: Column, w: Weights) -> tuple[Column, Column]:
-    found = F.transform(F.regexp_extract_all(text, F.lit(word(VAGUE)), F.lit(0)), F.lower)
+def vague_words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(word(VAGUE)), F.lit(0)), F.lower)
+
+
+def vague(text: Column, w: Weights, found: Column | None = None) -> tuple[Column, Column]:
+    found = vague_words(text) if found is None else found
     points = (F.least(F.size(found), F.lit(w.vague_cap)) * w.vague).cast("double")
     return points, F.array(F.concat(F.size(found).cast("string"), F.lit(" vague: "), F.array_join(F.array_sort(F.array_distinct(found)), ", ")))
 
@@ -105,17 +109,19 @@ def anaphora(text: Column, w: Weights, tokens: Column | None = None, chunks: Col
     return F.when(strong, w.anaphora).otherwise(weak), F.array(F.when(strong, F.lit("several antecedents")).otherwise(F.lit("referential phrase")))
 
 
-def signals(text: Column, w: Weights = Weights(), tokens: Column | None = None, chunks: Column | None = None) -> dict[str, tuple[Column, Column]]:
-    return {"modal_inconsistency": modal(text, w), "vague": vague(text, w), "coordination": coordination(text, w, tokens), "passive_no_actor": passive(text, w, tokens), "anaphora": anaphora(text, w, tokens, chunks)}
+def signals(text: Column, w: Weights = Weights(), tokens: Column | None = None, chunks: Column | None = None, split: Column | None = None, found: Column | None = None) -> dict[str, tuple[Column, Column]]:
+    """split and found: the text's words and vague words where they are at hand."""
+    return {"modal_inconsistency": modal(text, w, split), "vague": vague(text, w, found), "coordination": coordination(text, w, tokens), "passive_no_actor": passive(text, w, tokens), "anaphora": anaphora(text, w, tokens, chunks)}
 
 
 def score(df: DataFrame, text: str = "text", w: Weights = Weights(), tokens: str | None = None, chunks: str | None = None) -> DataFrame:
     """df with a column of points for each signal, signals (those that fired) and score, their sum."""
-    found = signals(F.col(text), w, F.col(tokens) if tokens else None, F.col(chunks) if chunks else None)
+    df = df.withColumns({"_split": words(F.col(text)), "_vague": vague_words(F.col(text))})  # once for points and reasons
+    found = signals(F.col(text), w, F.col(tokens) if tokens else None, F.col(chunks) if chunks else None, F.col("_split"), F.col("_vague"))
     df = df.withColumns({f"{name}_points": points.cast("double") for name, (points, _) in found.items()})
     entries = F.array(*[F.struct(F.lit(name).alias("name"), F.round(F.col(f"{name}_points"), 3).alias("points"), reasons.alias("reasons")) for name, (_, reasons) in found.items()])
     total = sum((F.col(f"{name}_points") for name in found), F.lit(0.0))
-    return df.withColumns({"signals": F.filter(entries, lambda e: e["points"] > 0), "score": total})
+    return df.withColumns({"signals": F.filter(entries, lambda e: e["points"] > 0), "score": total}).drop("_split", "_vague")
 
 
 def top(df: DataFrame, n: int = 200, score: str = "score", order: tuple = ("uid",)) -> DataFrame:

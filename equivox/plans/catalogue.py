@@ -89,22 +89,22 @@ def html_block_counts(spark, sf_dir):
     return html.section_fill(t(spark, sf_dir, "pages")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-MARKDOWN = "# Threat Model\n\nIntroductory prose that is long enough to stay here.\n\n## 3.2 API Key Handling\n\n- Keys are short lived.\n- Keys are rotated daily.\n\n```\ncode is dropped entirely here\n```\n\n| a | b |\n|---|---|\n\n> A quoted paragraph that goes on\n> over two lines of text.\n\nToo short.\n\n### Deep\n\nThis paragraph shall be kept. It has **two** sentences in it.\n\n## Other\n\nA [link](http://x) to *somewhere* else in the text.\n"
+MARKDOWN = "# Harbour Log\n\nIntroductory prose that is long enough to stay here.\n\n## 4.1 Buoy Drift Records\n\n- Buoys are moored in pairs.\n- Drift is noted every hour.\n\n```\ncode is dropped entirely here\n```\n\n| a | b |\n|---|---|\n\n> A quoted paragraph that goes on\n> over two lines of text.\n\nToo short.\n\n### Deep\n\nThis paragraph shall be kept. It has **two** sentences in it.\n\n## Other\n\nA [link](http://x) to *somewhere* else in the text.\n"
 MARKDOWN_ROWS = [
-    ("threat-model", "Introductory prose that is long enough to stay here."), ("threat-model/32-api-key-handling", "Keys are short lived."), ("threat-model/32-api-key-handling", "Keys are rotated daily."),
-    ("threat-model/32-api-key-handling", "A quoted paragraph that goes on over two lines of text."), ("threat-model/32-api-key-handling/deep", "This paragraph shall be kept."),
-    ("threat-model/32-api-key-handling/deep", "It has two sentences in it."), ("threat-model/other", "A link to somewhere else in the text."),
+    ("harbour-log", "Introductory prose that is long enough to stay here."), ("harbour-log/41-buoy-drift-records", "Buoys are moored in pairs."), ("harbour-log/41-buoy-drift-records", "Drift is noted every hour."),
+    ("harbour-log/41-buoy-drift-records", "A quoted paragraph that goes on over two lines of text."), ("harbour-log/41-buoy-drift-records/deep", "This paragraph shall be kept."),
+    ("harbour-log/41-buoy-drift-records/deep", "It has two sentences in it."), ("harbour-log/other", "A link to somewhere else in the text."),
 ]
 
 
 @query(f"select * from {rows_sql(MARKDOWN_ROWS, 'section, text')}")
 def markdown_units(spark, sf_dir):
-    return markdown.markdown(values(spark, [("docs/threat.md", MARKDOWN)], "path string, content string"), "Threat Model").select("section", "text")
+    return markdown.markdown(values(spark, [("docs/harbour.md", MARKDOWN)], "path string, content string"), "Harbour Log").select("section", "text")
 
 
 # --- scalar functions --------------------------------------------------------------------------------------
 
-WORDS = [("DiagnosticReport",), ("FamilyMemberHistory",), ("R4",), ("r4b",), ("a.b",), ("-",), ("modality",), ("pixel_data",), ("SOPInstanceUID",), ("re-use",), ("HTTPServer",)]
+WORDS = [("HarbourMaster",), ("LongTailDuck",), ("Q7",), ("q7b",), ("x.y",), ("-",), ("lantern",), ("sail_plan",), ("GPSFixRecord",), ("co-pilot",), ("TCPSocket",)]
 
 
 @query(rf"""select w, case when w ~ '[._/0-9]' or not w ~ '[a-zA-Z]' then null when w ~ '[a-z][A-Z]|[A-Z][A-Z][a-z]'
@@ -202,9 +202,9 @@ def triage_signal_histogram(spark, sf_dir):
     return rows.groupBy(F.col("s.name").alias("name"), F.col("s.points").alias("points")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {SENTENCES_SQL}, en as (select s.* from s join documents d using (doc_id) where d.lang = 'en'), {triage_sql('en', 'doc_id, sent_no')} select doc_id, sent_no::int as sent_no, round(modal + vague + coordination + passive + anaphora, 3) as score from sig")
+@query(f"with {SENTENCES_SQL}, {triage_sql('s', 'doc_id, sent_no')} select doc_id, sent_no::int as sent_no, round(modal + vague + coordination + passive + anaphora, 3) as score from sig")
 def triage_documents(spark, sf_dir):
-    rows = segment.explode_sentences(t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"))
+    rows = segment.explode_sentences(t(spark, sf_dir, "documents").select("doc_id", "text"))
     return triage.score(rows).select("doc_id", "sent_no", F.round("score", 3).alias("score"))
 
 
@@ -366,10 +366,10 @@ def match_fhir(spark, sf_dir):
     return matchers.fhir(c1_units(spark, sf_dir), values(spark, FHIR, "kind string, value string, ord int")).select("uid", "match_tag", "precise")
 
 
-CITES = [("PS3.5 §T6.2-1",), ("PS3.5 Annex A.4",), ("PS3.6 7",), ("PS3.5 Note 3",), ("PS3.7 9.3.1",)]
+CITES = [("PS3.5 §T6.2-1",), ("PS3.5 Annex A.4",), ("PS3.6 7",), ("PS3.5 Note 3",), ("PS3.5 8.1 Note 2",), ("PS3.7 9.3.1",)]
 
 
-@query("select * from (values ('PS3.5 §T6.2-1', 'PS3.5 Table 6.2-1'), ('PS3.5 Annex A.4', 'PS3.5 A.4'), ('PS3.6 7', null), ('PS3.5 Note 3', null), ('PS3.7 9.3.1', 'PS3.7 9.3.1')) as v(cite, prefix)")
+@query("select * from (values ('PS3.5 §T6.2-1', 'PS3.5 Table 6.2-1'), ('PS3.5 Annex A.4', 'PS3.5 A.4'), ('PS3.6 7', null), ('PS3.5 Note 3', null), ('PS3.5 8.1 Note 2', 'PS3.5 8.1 Note 2'), ('PS3.7 9.3.1', 'PS3.7 9.3.1')) as v(cite, prefix)")
 def findings_prefixes(spark, sf_dir):
     return values(spark, CITES, "cite string").select("cite", lexicons.dicom_prefix(F.col("cite")).alias("prefix"))
 

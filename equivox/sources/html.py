@@ -19,8 +19,6 @@ from equivox.operators.segment import fill_forward, units
 # fixed values
 FHIR_PAGES = ("datatypes", "json", "xml", "formats", "search", "http", "references", "extensibility", "terminologies", "narrative", "resource", "element", "datatypes-definitions", "search_filter", "codesystem", "valueset", "bundle")
 EPUB_SKIP = r"(?i)cover|title|language|recommendation|foreword|contents|intro|biblio|series"
-NUMBERED = re.compile(r"^(\d+(?:\.\d+)+)\s+(.*)$", re.S)
-CLAUSE = re.compile(r"^([A-Z]?\d+(?:\.\d+)*)\s+(.*)$", re.S)
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = "path string, pos int, tag string, cls string, id string, section string, section_title string, tbl string, in_main boolean, text string"

@@ -141,13 +141,16 @@ def test_scaffold_parses(spark, tmp_path):
 
 
 def test_findings(spark):
-    toml = '[case]\nid = "UN handling"\ntitle = "Length of OB"\nspec = ["PS3.5 §T6.2-1", "PS3.5 Note 3", "FHIR R5 3.2.1.5.6 Prefixes"]\n[build]\nx = "inv ref-1"\n'
+    toml = '[case]\nid = "UN handling"\ntitle = "Length of ob x-ui"\nspec = ["PS3.5 §T6.2-1", "PS3.5 Note 3", "PS3.5 8.1 Note 2", "FHIR R5 3.2.1.5.6 Prefixes", "HL7 FHIR section 2.1.28 and 3.2.4 (ref-1)", "CDA a/b", "some [x]"]\n[build]\nx = "inv ref-1"\n[control]\nt = ["0010,002a", "not 0010,0020"]\n'
     read = lexicons.cases(spark.createDataFrame([("a", toml), ("b", "not toml [")], "path string, toml string"))
     assert sorted(r.ok for r in read.collect()) == [False, True]
     d = {(r.kind, r.value) for r in lexicons.dicom_findings(read).collect()}
-    assert {("prefix", "PS3.5 Table 6.2-1"), ("vr", "UN"), ("vr", "OB"), ("keyword", "struct")} <= d and ("prefix", "PS3.5 Note 3") not in d
+    assert {("prefix", "PS3.5 Table 6.2-1"), ("vr", "UN"), ("vr", "OB"), ("vr", "UI"), ("keyword", "struct"), ("keyword", "0010,002A"), ("prefix", "PS3.5 8.1 Note 2")} <= d and ("prefix", "PS3.5 Note 3") not in d
     f = {(r.kind, r.value) for r in lexicons.fhir_findings(read).collect()}
-    assert {("section", "3.2.1.5.6"), ("invariant", "ref-1"), ("concept", "Prefixes")} <= f
+    assert f >= {("section", "3.2.1.5.6"), ("section", "2.1.28"), ("section", "3.2.4"), ("invariant", "ref-1"), ("concept", "Prefixes"), ("concept", "and")}
+    assert not any(v in ("a/b", "some [x]") for _, v in f)
+    lists = {r.kind: r for r in lexicons.findings_lists(lexicons.fhir_findings(read), read).collect()}
+    assert lists["invariant"].list == ["ref-1"] and lists["section"].n == len(lists["section"].list) and lists["concept"].n_cases == 2
     codes = spark.createDataFrame([("u", json.dumps([{"code": "a", "display": "A b", "concept": [{"code": "c"}]}]))], "url string, json string")
     assert sorted(r.concept_id for r in lexicons.flatten_codes(codes).collect()) == ["u#a", "u#c"]
 
