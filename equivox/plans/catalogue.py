@@ -70,8 +70,8 @@ def unit_conversations(spark, sf_dir):
 HTML_SQL = r"""
 b as (
   select page_id, unnest(range(0, len(f))) as pos, unnest(f) as raw
-  from (select page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<(?:h[1-5]|p|li)(?: [^>]*)?>[^<]*') as f from pages)),
-h as (select page_id, pos::int as pos, regexp_extract(raw, '^<(h[1-5]|p|li)', 1) as tag, trim(regexp_replace(regexp_replace(raw, '^<[^>]*>', ''), '[\s\x{00A0}]+', ' ', 'g')) as text from b)"""
+  from (select page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<(?:h[1-5]|p|li)(?: [^>]*)?>[^<]*(?:</?(?:a|abbr|b|bdi|bdo|big|br|cite|code|dfn|em|font|i|img|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|var)(?:[ /][^>]*)?>[^<]*)*') as f from pages)),
+h as (select page_id, pos::int as pos, regexp_extract(raw, '^<(h[1-5]|p|li)', 1) as tag, trim(regexp_replace(regexp_replace(regexp_replace(raw, '<br[ /]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '[\s\x{00A0}]+', ' ', 'g')) as text from b)"""
 
 
 @query(f"with {HTML_SQL} select page_id, pos, tag, text, last_value(case when tag like 'h%' then text end ignore nulls) over (partition by page_id order by pos rows unbounded preceding) as title from h")

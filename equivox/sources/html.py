@@ -177,13 +177,16 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+INLINE = r"</?(?:a|abbr|b|bdi|bdo|big|br|cite|code|dfn|em|font|i|img|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|var)(?:[ /][^>]*)?>"
+
+
 def section_fill(pages: DataFrame) -> DataFrame:
     """pages(page_id, html) -> (page_id, pos, tag, text, title): blocks of h1-h5, p and li by pattern, for well
-    marked pages, with the latest heading; all JVM-side."""
+    marked pages, each up to the next tag that is not inline, without its tags, with the latest heading; all JVM-side."""
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), r"(?s)<!--.*?-->", "")
-    found = F.regexp_extract_all(plain, F.lit(r"(?s)<(?:h[1-5]|p|li)(?: [^>]*)?>[^<]*"), F.lit(0))
+    found = F.regexp_extract_all(plain, F.lit(rf"(?s)<(?:h[1-5]|p|li)(?: [^>]*)?>[^<]*+(?:{INLINE}[^<]*+)*+"), F.lit(0))
     b = pages.select("page_id", F.posexplode(found).alias("pos", "raw"))
-    b = b.select("page_id", "pos", F.regexp_extract("raw", r"^<(h[1-5]|p|li)", 1).alias("tag"), clean(F.regexp_replace("raw", "^<[^>]*>", "")).alias("text"))
+    b = b.select("page_id", "pos", F.regexp_extract("raw", r"^<(h[1-5]|p|li)", 1).alias("tag"), clean(F.regexp_replace(F.regexp_replace("raw", "<br[ /]*>", " "), "<[^>]*>", "")).alias("text"))
     return fill_forward(b, F.when(F.col("tag").startswith("h"), F.col("text")), ["page_id"], ["pos"], "title")
 
 

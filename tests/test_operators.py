@@ -192,3 +192,10 @@ def test_html_block_query_keeps_whole_blocks(spark):
         found = re.findall(rf"(?s)<(h[1-6]|p|li)(?: [^>]*)?>(.*?)(?={ends})", plain)
         want = [(tag, " ".join(unescape(re.sub("<[^>]*>", "", raw.replace("<br>", " "))).split())) for tag, raw in found if tag != "h6"]
         assert [(tag, x) for _, tag, x in sorted(got[page_id])] == [w for w in want if w[1]]
+
+
+def test_section_fill_keeps_text_beside_inline_tags(spark):
+    page = "<h2>A <em>title</em></h2><p><b>Bold start</b> and the rest</p><ul><li><a href='/x'>One</a></li><li>Some <i>x</i> tail<br>more</li></ul><p>" + "<b>w</b> " * 20_000
+    got = html.section_fill(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("pos").collect()
+    assert [(r.tag, r.text, r.title) for r in got[:4]] == [("h2", "A title", "A title"), ("p", "Bold start and the rest", "A title"), ("li", "One", "A title"), ("li", "Some x tail more", "A title")]
+    assert got[4].text == " ".join(["w"] * 20_000)
