@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 MIN_TOKEN = 4
 EXCLUDED_KINDS = ("code",)
+# fixed values: semantic types whose concepts are trusted by default, those of clinical things
+SEMANTIC_TYPES = tuple(
+    "T004 T005 T007 T017 T018 T019 T020 T021 T022 T023 T024 T025 T026 T029 T030 T031 T032 T033 T034 T037 "
+    "T038 T039 T040 T041 T042 T043 T044 T045 T046 T047 T048 T049 T050 T058 T059 T060 T061 T062 T063 T065 "
+    "T074 T075 T103 T104 T109 T114 T116 T120 T121 T122 T123 T125 T126 T127 T129 T130 T131 T184 T190 T191 "
+    "T192 T195 T196 T197 T200 T201 T204".split()
+)
 
 
 def concepts(terms: DataFrame, min_token: int = MIN_TOKEN, excluded: tuple[str, ...] = EXCLUDED_KINDS) -> DataFrame:
@@ -23,7 +30,7 @@ def concept_similarity(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return rows.select("a", "b", F.when(F.col("ca").isNotNull() & F.col("cb").isNotNull(), F.arrays_overlap("ca", "cb").cast("double")).alias("sim"))
 
 
-def join_concepts(str2cui: DataFrame, cui2sty: DataFrame, allowed: list[str], min_token: int = MIN_TOKEN) -> DataFrame:
+def join_concepts(str2cui: DataFrame, cui2sty: DataFrame, allowed: tuple[str, ...] | list[str] = SEMANTIC_TYPES, min_token: int = MIN_TOKEN) -> DataFrame:
     """(norm, cui): strings with a concept of an allowed semantic type."""
     kept = cui2sty.where(F.col("tui").isin(*allowed)).select("cui").distinct()
     return str2cui.where(F.length("norm") >= min_token).join(kept, "cui", "left_semi").select("norm", "cui").distinct()

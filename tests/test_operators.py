@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from equivox.functions.text import head
-from equivox.operators import lexicons, matchers, oracle, parsers, scaffold, segment, triage
+from equivox.operators import lexicons, matchers, oracle, parsers, scaffold, segment, similarity, triage
 from equivox.schema import CHUNKS, TOKENS
 from equivox.sources import html, tabular, targets
 
@@ -199,3 +199,10 @@ def test_section_fill_keeps_text_beside_inline_tags(spark):
     got = html.section_fill(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("pos").collect()
     assert [(r.tag, r.text, r.title) for r in got[:4]] == [("h2", "A title", "A title"), ("p", "Bold start and the rest", "A title"), ("li", "One", "A title"), ("li", "Some x tail more", "A title")]
     assert got[4].text == " ".join(["w"] * 20_000)
+
+
+def test_default_semantic_types(spark):
+    known = spark.createDataFrame([("fever", "C1"), ("concept", "C2"), ("hip", "C3")], "norm string, cui string")
+    types = spark.createDataFrame([("C1", "T184"), ("C2", "T078"), ("C3", "T023")], "cui string, tui string")
+    assert [tuple(r) for r in similarity.join_concepts(known, types).collect()] == [("fever", "C1")]
+    assert len(set(similarity.SEMANTIC_TYPES)) == 67
