@@ -45,16 +45,17 @@ def fill_forward(df: DataFrame, value: Column, keys: list[str], order: list, nam
     return df.withColumn(name, F.coalesce(seen, default) if default is not None else seen)
 
 
-def units(blocks: DataFrame, spec: Column, uid_prefix: Column, least: int = MIN_CHARS, anchor: Column | None = None) -> DataFrame:
+def units(blocks: DataFrame, spec: Column, uid_prefix: Column, least: int = MIN_CHARS, anchor: Column | None = None, by_subref: bool = False) -> DataFrame:
     """blocks(source_id, pos, section, section_title, subref, text, is_list) -> units with source_id.
 
     Paragraphs and sentences under `least` characters go (list items are exempt); a sentence that its
-    section has already had goes; the rest is numbered within its section (and subref).  The key is
-    (source_id, uid), as uids of different sources may collide."""
+    section has already had goes; the rest is numbered within its section, with by_subref within the section and
+    subref, which the uid then names.  The key is (source_id, uid), as uids of different sources may collide."""
     kept = blocks.where("section is not null and section != ''").where((F.length("text") >= least) | F.col("is_list"))
     rows = explode_sentences(kept).where((F.length("text") >= least) | (F.col("is_list") & (F.length("text") > 0)))
     rows = dedup_first(rows, ["source_id", "section", "text"], ["pos", "sent_no"])
-    rows = number(rows, ["source_id", "section", "subref"], ["pos", "sent_no"])
-    uid = F.concat_ws(":", uid_prefix, F.col("section"), F.concat(F.coalesce(F.concat(F.col("subref"), F.lit(".")), F.lit("")), F.col("n").cast("string")))
+    rows = number(rows, ["source_id", "section", *["subref"] * by_subref], ["pos", "sent_no"])
+    within = F.coalesce(F.concat("subref", F.lit(".")), F.lit("")) if by_subref else F.lit("")
+    uid = F.concat_ws(":", uid_prefix, F.col("section"), F.concat(within, F.col("n").cast("string")))
     place = anchor if anchor is not None else F.concat_ws(" ", spec, F.col("section"))
     return rows.select("source_id", uid.alias("uid"), spec.alias("spec"), "section", "section_title", "subref", place.alias("anchor"), "text", "char_start", "char_end", "pos", "sent_no")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from equivox.functions import text as tx
 from equivox.operators import lexicons, matchers, oracle, parsers, rank, scaffold, segment, similarity, triage
 from equivox.plans.corpora import C1_SQL, C2_SQL, C3_SQL, TERMS_SQL, c1, c2, c3, t, terms
-from equivox.sources import html, markdown
+from equivox.schema import UNIT
+from equivox.sources import html, markdown, tabular
 
 PARSERS = ("low", "high", "lexical", "object")
 QUERIES: dict = {}
@@ -446,3 +447,157 @@ def lexicon_kind_counts(spark, sf_dir):
 def parser_readings_rule(spark, sf_dir):
     pp, coord = parsers.all_rules(c1(spark, sf_dir).select(F.col("uid").cast("string").alias("uid"), "text"))
     return oracle.pp_loci(pp, tx.head(F.col("head")), PARSERS).unionByName(oracle.coord_loci(coord, tx.head, PARSERS)).select("uid", "off", "kind", "weight", "locus", F.array_join("heads", "|").alias("heads"))
+
+
+# --- sources: pages, layouts and lines made from the corpus, forty sentences each --------------------------------------
+
+PAGE = 40
+#: sentences of each section as its source has them: an earlier sentence of the same text wins, the rest is numbered
+NUMBERED_SQL = """
+d as (select * from u qualify row_number() over (partition by page, section, text order by uid) = 1),
+n as (select *, row_number() over (partition by page, section, subref order by uid) as n, row_number() over (partition by page, section order by uid) as in_section from d)"""
+
+
+def made(rows: DataFrame, fragment) -> DataFrame:
+    """Pages (path, html) of sentences in their order; fragment is a sentence's markup."""
+    page = F.concat(F.lit("page-"), F.floor(F.col("uid") / PAGE).cast("string"), F.lit(".html")).alias("path")
+    parts = rows.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("uid", fragment.alias("markup")))).alias("parts"))
+    body = F.array_join(F.transform("parts", lambda x: x["markup"]), "\n")
+    return parts.select("path", F.concat(F.lit('<html><body><ul><li>An entry of the navigation beside the text</li></ul><div id="segment-content">'), body, F.lit("</div></body></html>")).alias("html"))
+
+
+@query(f"""with {C1_SQL}, u as (select *, uid // {PAGE} as page, case when uid % 7 = 0 then concat(section, '-', uid % 2) end as subref from c1 where length(text) >= 25), {NUMBERED_SQL}
+select concat('page-', page, '.html') as source_id, concat('L:', section, ':', case when subref is null then '' else subref || '.' end, n) as uid, section, concat('Rules of ', spec) as section_title, subref,
+  case when subref is null then 'L ' || section else 'L Table ' || subref end as anchor, text from n""")
+def docbook_units(spark, sf_dir):
+    row = F.when(F.col("uid") % 7 == 0, F.concat(F.lit('<div class="table"><a id="table_'), "section", F.lit("-"), F.col("uid") % 2, F.lit('"></a><ul><li><p>'), "text", F.lit("</p></li></ul></div>")))
+    row = row.otherwise(F.concat(F.lit("<p>"), "text", F.lit("<p>Short.")))
+    section = F.concat(F.lit('<div class="section"><div class="titlepage"><a id="sect_'), "section", F.lit('"></a><h3>'), "section", F.lit(" Rules of "), "spec", F.lit("</h3></div>"), row, F.lit("</div>"))
+    return html.docbook(made(c1(spark, sf_dir), section), "L").select("source_id", "uid", "section", "section_title", "subref", "anchor", "text")
+
+
+FILLED_SQL = f"""
+f as (
+  select *, uid // {PAGE} as page, null as subref, case when uid % 3 = 0 then section end as s, case when uid % 5 = 0 then 'Notes on ' || spec when uid % 3 = 0 then 'Rules of ' || spec end as t from c1),
+g as (
+  select * exclude (section), last_value(s ignore nulls) over (partition by page order by uid rows unbounded preceding) as section, last_value(t ignore nulls) over (partition by page order by uid rows unbounded preceding) as title from f)"""
+
+
+def numbered_heading() -> F.Column:
+    return F.concat_ws(" ", "section", F.lit("Rules of"), "spec")
+
+
+@query(f"""with {C1_SQL}, {FILLED_SQL}, u as (select * replace (coalesce(section, '0') as section, coalesce(title, concat('page-', page)) as title) from g where length(text) >= 25), {NUMBERED_SQL}
+select concat('FHIR-R5:page-', page, ':', section, ':', in_section) as uid, section, title as section_title, concat('page-', page, '.html') as subref, concat('FHIR R5 page-', page, '.html#', section) as anchor, text from n""")
+def fhir_units(spark, sf_dir):
+    heads_ = F.concat(F.when(F.col("uid") % 3 == 0, F.concat(F.lit("<h2>"), numbered_heading(), F.lit("</h2>"))).otherwise(""), F.when(F.col("uid") % 5 == 0, F.concat(F.lit("<h4>Notes on <b>"), "spec", F.lit("</b></h4>"))).otherwise(""))
+    pages = made(c1(spark, sf_dir), F.concat(heads_, F.lit("<p>"), "text", F.lit("</p>")))
+    return html.fhir_site(pages, "FHIR R5", ()).select("uid", "section", "section_title", "subref", "anchor", "text")
+
+
+@query(f"""with {C1_SQL}, {FILLED_SQL}, u as (select * from g where length(text) >= 25 and section is not null and uid % {PAGE} >= 10 and uid % 11 <> 0 and uid % 13 <> 0), {NUMBERED_SQL}
+select concat('doc-', page) as source_id, concat('L:', section, ':', in_section) as uid, section, title as section_title, concat('p', uid % {PAGE} // 10) as subref, text from n""")
+def layout_units(spark, sf_dir):
+    uid = F.col("uid")
+    label = F.when(uid % 11 == 0, "caption").when(uid % 4 == 0, "list_item").otherwise("text")
+    item = lambda k, when, label, text: F.when(when, F.struct(F.lit(k).alias("k"), label.alias("label"), text.alias("text")))
+    items = F.array(
+        item(0, uid % 3 == 0, F.lit("section_header"), numbered_heading()), item(1, uid % 5 == 0, F.lit("section_header"), F.concat(F.lit("Notes on "), "spec")),
+        item(2, uid.isNotNull(), label, F.concat("text", F.when(uid % 13 == 0, " . . . . . . 12").otherwise(""))),
+    )
+    rows = c1(spark, sf_dir).select("uid", F.inline(F.filter(items, lambda i: i.isNotNull())))
+    at = uid % PAGE
+    rows = rows.select(F.concat(F.lit("doc-"), F.floor(uid / PAGE).cast("string")).alias("doc"), F.floor(at / 10).cast("int").alias("page"), ((at % 10) * 3 + F.col("k")).cast("int").alias("pos"), "label", "text")
+    return tabular.layout(rows, "L", from_page=1).select("source_id", "uid", "section", "section_title", "subref", "text")
+
+
+@query(f"with {C1_SQL} select uid::varchar as uid, spec, section, '' as section_title, null::varchar as subref, concat(spec, ' ', section) as anchor, text, 0 as char_start, length(text)::int as char_end from c1")
+def json_units(spark, sf_dir):
+    rows = c1_units(spark, sf_dir).withColumns({"uid": F.col("uid").cast("string"), "char_start": F.lit(0), "char_end": F.length("text")})
+    lines = rows.select(F.to_json(F.struct(*[part.split()[0] for part in UNIT.split(",")]), {"ignoreNullFields": "false"}).alias("value"))
+    return tabular.parse_units(lines)
+
+
+# --- lexicon and findings builders ----------------------------------------------------------------------------------------
+
+
+@query("select distinct p_name as norm, concat('C', p_partkey % 500) as cui from part where p_partkey % 4 <> 0 and p_partkey % 7 <> 0")
+def umls_index(spark, sf_dir):
+    k = F.col("p_partkey")
+    conso = t(spark, sf_dir, "part").select(F.concat(F.lit("C"), k % 500).alias("c0"), F.when(k % 4 == 0, "FRE").otherwise("ENG").alias("c1"), F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ")).alias("c14"), F.when(k % 7 == 0, "O").otherwise("N").alias("c16"))
+    return lexicons.umls_strings(conso)
+
+
+@query(r"""with words as (select p_partkey, string_split(p_name, ' ') as w from part)
+select array_to_string(w, ' ') as norm, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), ' ') as term, concat('DICOM-DE:', p_partkey) as concept_id from words""")
+def element_terms(spark, sf_dir):
+    rows = t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("tag"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")).alias("keyword"), F.initcap("p_name").alias("name"), F.lit("LO").alias("vr"), F.col("p_partkey").alias("ord"))
+    return lexicons.dedup(lexicons.elements(rows), ["ord", "term"]).select("norm", "term", "concept_id")
+
+
+@query(r"""with rows as (
+  select p_brand as url, concat('c', p_partkey) as code, case when p_partkey % 3 <> 0 then p_type end as display, p_name as definition from part
+  union all select p_brand, concat('c', p_partkey, '-x'), concat('Part of ', p_type), null from part)
+select concat(url, '#', code) as concept_id, coalesce(display, code) as term, lower(trim(regexp_replace(coalesce(display, code), '[^A-Za-z0-9]+', ' ', 'g'))) as norm, coalesce(definition, '') as definition from rows""")
+def code_terms(spark, sf_dir):
+    below = F.array(F.struct(F.concat(F.lit("c"), "p_partkey", F.lit("-x")).alias("code"), F.concat(F.lit("Part of "), "p_type").alias("display")))
+    concept = F.struct(F.concat(F.lit("c"), "p_partkey").alias("code"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("display"), F.col("p_name").alias("definition"), below.alias("concept"))
+    systems = t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("url")).agg(F.to_json(F.collect_list(concept)).alias("json"))
+    return lexicons.flatten_codes(systems).select("concept_id", "term", "norm", "definition")
+
+
+def case_files(spark, sf_dir) -> DataFrame:
+    """Case files: two cites, a tag, an id that ends in a value representation; every ninth can't be read."""
+    k = F.col("p_partkey")
+    number_ = lambda m: (k % m + 1).cast("string")
+    place = F.element_at(F.array(F.concat(F.lit("PS3.5 "), number_(9), F.lit("."), number_(4)), F.concat(F.lit("PS3.7 §T"), number_(9), F.lit("-"), number_(2)), F.lit("PS3.6 7"), F.concat(F.lit("PS3.5 Annex A."), number_(6)), F.lit("PS3.5 Note 3")), (k % 5 + 1).cast("int"))
+    toml = F.concat(
+        F.lit('[case]\nid = "x-'), F.when(k % 2 == 0, "ui").otherwise("sq"), F.lit('"\ntitle = "'), "p_name", F.lit('"\nspec = ["'), place, F.lit('", "FHIR R5 Section '), number_(3), F.lit("."), number_(7), F.lit(" Thing (note)"),
+        F.lit('"]\n[build]\ntags = ["0010,00'), F.lower(F.lpad(F.hex(k % 32), 2, "0")), F.lit('"]\n'), F.when(k % 9 == 0, "broken = \n").otherwise(""),
+    )
+    return t(spark, sf_dir, "part").select(k.cast("string").alias("path"), toml.alias("toml"))
+
+
+@query(f"""with p as (select p_partkey as k, k % 5 as c from part where p_partkey % 9 <> 0)
+select distinct 'prefix' as kind, case c when 0 then concat('PS3.5 ', k % 9 + 1, '.', k % 4 + 1) when 1 then concat('PS3.7 Table ', k % 9 + 1, '-', k % 2 + 1) else concat('PS3.5 A.', k % 6 + 1) end as value from p where c in (0, 1, 3)
+union select 'keyword', concat('0010,00', lpad(printf('%X', (k % 32)::int), 2, '0')) from p
+union select 'vr', case when k % 2 = 0 then 'UI' else 'SQ' end from p
+union select 'keyword', unnest([{', '.join(map(literal, lexicons.DICOM_KEYWORDS))}])""")
+def dicom_case_findings(spark, sf_dir):
+    return lexicons.dicom_findings(lexicons.cases(case_files(spark, sf_dir)))
+
+
+# --- readings, reasons, lines to read --------------------------------------------------------------------------------------
+
+
+@query(f"with {COORD_SQL} select uid, off, concat('and@', off) as locus, cs.parser, array_to_string(h, ', ') as resolution, array_to_string(h, '|') as signature from cs join cl using (uid, off) where len(h) >= 2")
+def coord_readings(spark, sf_dir):
+    return oracle.coord_loci(c3(spark, sf_dir), tx.head, PARSERS).select("uid", "off", "locus", F.inline("readings"))
+
+
+@query(f"with {C1_SQL}, {JUDGED_SQL} select c1.uid, coalesce(verdict, 'none') as verdict, coalesce(disagreement_score, 0) as disagreement_score, coalesce(n_loci, 0) as n_loci from c1 left join us using (uid)")
+def judged_units(spark, sf_dir):
+    pairs = oracle.head_pairs(oracle.pp_loci(c2(spark, sf_dir), tx.head(F.col("head")), PARSERS).unionByName(oracle.coord_loci(c3(spark, sf_dir), tx.head, PARSERS))).select("a", "b")
+    known = similarity.concept_similarity(pairs, similarity.concepts(terms(spark, sf_dir)))
+    return oracle.judge(c1(spark, sf_dir), c2(spark, sf_dir), c3(spark, sf_dir), known, tx.head, PARSERS).select("uid", "verdict", "disagreement_score", "n_loci")
+
+
+def said(name: str, terms_) -> str:
+    found = f"list_sort(list_distinct(list_filter(w, lambda x: x in ({', '.join(map(literal, terms_))}))))"
+    return f"case when len({found}) > 0 then '{name}: ' || array_to_string({found}, ', ') end"
+
+
+MODAL_SAID = ", ".join(said(name, terms_) for name, terms_ in (("obligation", triage.OBLIGATION), ("recommendation", triage.RECOMMENDATION), ("permission", triage.PERMISSION)))
+
+
+@query(rf"""{TRIAGE_SQL}, r as (select tok.uid, array_to_string(list_filter([{MODAL_SAID}], lambda x: x is not null), '; ') as modal_why, regexp_extract_all(low, '{pattern(triage.VAGUE)}') as v from tok)
+select uid, case when modal > 0 then modal_why end as modal_why, case when vague > 0 then concat(len(v), ' vague: ', array_to_string(list_sort(list_distinct(v)), ', ')) end as vague_why from r join sig using (uid)""")
+def triage_reasons(spark, sf_dir):
+    why = lambda name: F.array_join(F.get(F.filter("signals", lambda s: s["name"] == name), F.lit(0))["reasons"], "; ")
+    return scored(spark, sf_dir).select("uid", why("modal_inconsistency").alias("modal_why"), why("vague").alias("vague_why"))
+
+
+@query(f"""{OUT_SQL} select uid, case when verdict is null then format('[{{}} {{}}] {{}}  triage={{:.3f}}', spec, section, uid, triage_score)
+  else format('[{{}} {{}}] {{}}  verdict={{}} score={{:.3f}} loci={{}}', spec, section, uid, verdict, disagreement_score, n_loci) end as header from o where spec = 'PS3.7'""")
+def view_lines(spark, sf_dir):
+    return rank.view(rows_out(spark, sf_dir), "PS3.7", limit=0).select("uid", "header")

@@ -112,11 +112,11 @@ def docbook(pages: DataFrame, label: str, least: int = 25) -> DataFrame:
     b = html_blocks(pages).where(F.col("tag").isin("p", "li") & F.col("section").isNotNull())
     b = b.select(F.col("path").alias("source_id"), "pos", "section", "section_title", F.col("tbl").alias("subref"), "text", F.lit(False).alias("is_list"))
     anchor = F.when(F.col("subref").isNotNull(), F.concat(F.lit(f"{label} Table "), "subref")).otherwise(F.concat(F.lit(f"{label} "), "section"))
-    return units(b, F.lit(label), F.lit(label), least, anchor)
+    return units(b, F.lit(label), F.lit(label), least, anchor, by_subref=True)
 
 
 def fhir_site(pages: DataFrame, label: str, stems: tuple[str, ...] = FHIR_PAGES, least: int = 25) -> DataFrame:
-    """pages(path, html) -> units: numbered headings set section and title, others the title only."""
+    """pages(path, html) -> units: numbered headings set section and title, others the title only; subref is the page."""
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.html?$", "")
     kept = pages.withColumn("path", stem).where(F.col("path").isin(*stems)) if stems else pages.withColumn("path", stem)
     b = html_blocks(kept, "segment-content").where("in_main and tag in ('h1','h2','h3','h4','h5','p','li')")
@@ -124,8 +124,8 @@ def fhir_site(pages: DataFrame, label: str, stems: tuple[str, ...] = FHIR_PAGES,
     title = F.when(number != "", F.regexp_replace("text", r"^\d+(?:\.\d+)+\s+", "")).otherwise(F.substring("text", 1, 80))
     b = fill_forward(b, F.when(heading & (number != ""), number), ["path"], ["pos"], "sec", F.lit("0"))
     b = fill_forward(b, F.when(heading, title), ["path"], ["pos"], "title", F.col("path"))
-    b = b.where(~heading).select(F.col("path").alias("source_id"), "pos", F.col("sec").alias("section"), F.col("title").alias("section_title"), F.lit(None).cast("string").alias("subref"), "text", F.lit(False).alias("is_list"))
-    return units(b, F.lit(label), F.concat_ws(":", F.regexp_replace(F.lit(label), " ", "-"), "source_id"), least)
+    b = b.where(~heading).select(F.col("path").alias("source_id"), "pos", F.col("sec").alias("section"), F.col("title").alias("section_title"), F.concat("path", F.lit(".html")).alias("subref"), "text", F.lit(False).alias("is_list"))
+    return units(b, F.lit(label), F.concat_ws(":", F.regexp_replace(F.lit(label), " ", "-"), "source_id"), least, F.concat(F.lit(f"{label} "), "subref", F.lit("#"), "section"))
 
 
 def spine(data: bytes) -> Iterator[tuple[int, str, str]]:
@@ -142,7 +142,7 @@ def spine(data: bytes) -> Iterator[tuple[int, str, str]]:
 
 
 def epub(books: DataFrame, label: str, skip: str = EPUB_SKIP, least: int = 25) -> DataFrame:
-    """books(path, content binary) -> units."""
+    """books(path, content binary) -> units; subref is the file within the book."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,7 +165,7 @@ def epub(books: DataFrame, label: str, skip: str = EPUB_SKIP, least: int = 25) -
     b = b.withColumns({"_heading": is_heading, "_sec": section, "_title": title})
     b = fill_forward(b, F.col("_sec"), ["path"], ["pos"], "sec", seed)
     b = fill_forward(b, F.col("_title"), ["path"], ["pos"], "ttl", F.lit(""))
-    b = b.where("not _heading").select(F.col("path").alias("source_id"), "pos", F.col("sec").alias("section"), F.col("ttl").alias("section_title"), F.lit(None).cast("string").alias("subref"), "text", F.lit(False).alias("is_list"))
+    b = b.where("not _heading").select(F.col("path").alias("source_id"), "pos", F.col("sec").alias("section"), F.col("ttl").alias("section_title"), name.alias("subref"), "text", F.lit(False).alias("is_list"))
     return units(b, F.lit(label), F.lit(label), least)
 
 

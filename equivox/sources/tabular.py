@@ -11,8 +11,11 @@ from equivox.schema import UNIT
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of units; malformed lines fail, and so do lines with keys that units lack."""
-    raw = spark.read.text(path)
+    return parse_units(spark.read.text(path))
+
+
+def parse_units(raw: DataFrame) -> DataFrame:
+    """Lines (value) of JSON -> units; malformed lines fail, and so do lines with keys that units lack."""
     known = [part.split()[0] for part in UNIT.split(",")]
     keys = F.json_object_keys("value")
     odd = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0
@@ -34,14 +37,14 @@ def read_rrf(spark: SparkSession, path: str) -> DataFrame:
 
 def layout(items: DataFrame, label: str, least: int = 25, from_page: int = 0) -> DataFrame:
     """items(doc, page, pos, label, text) of a page-layout model -> units: section headers set the clause or
-    the title, prose is kept, dot leaders go."""
+    the title, prose is kept, dot leaders go; subref is the page."""
     clause = F.nullif(F.regexp_extract("text", r"^([A-Z]?\d+(?:\.\d+)*)\s+", 1), F.lit(""))
     header = F.col("label") == "section_header"
     order = ["page", "pos"]
     b = fill_forward(items, F.when(header, clause), ["doc"], order, "section")
     b = fill_forward(b, F.when(header, F.regexp_replace("text", r"^[A-Z]?\d+(?:\.\d+)*\s+", "")), ["doc"], order, "section_title", F.lit(""))
     b = b.where(F.col("label").isin("text", "list_item") & ~F.col("text").rlike(r"(\.\s*){4,}") & (F.col("page") >= from_page) & F.col("section").isNotNull())
-    b = b.select(F.col("doc").alias("source_id"), (F.col("page") * 100_000 + F.col("pos")).cast("int").alias("pos"), "section", "section_title", F.lit(None).cast("string").alias("subref"), "text", F.lit(False).alias("is_list"))
+    b = b.select(F.col("doc").alias("source_id"), (F.col("page") * 100_000 + F.col("pos")).cast("int").alias("pos"), "section", "section_title", F.concat(F.lit("p"), "page").alias("subref"), "text", F.lit(False).alias("is_list"))
     return units(b, F.lit(label), F.lit(label), least)
 
 
