@@ -52,9 +52,9 @@ def paragraphs(files: DataFrame) -> DataFrame:
 
 
 def markdown(files: DataFrame, label: str, least: int = 25) -> DataFrame:
-    """files(path, content) -> units."""
+    """files(path, content) -> units; subref is the file's name."""
     b = paragraphs(files).withColumn("section", F.when(F.col("section") == "", "0").otherwise(F.col("section")))
-    b = b.select(F.col("path").alias("source_id"), "pos", "section", "section_title", F.lit(None).cast("string").alias("subref"), "text", "is_list")
+    b = b.select(F.col("path").alias("source_id"), "pos", "section", "section_title", F.regexp_extract("path", r"([^/]*)$", 1).alias("subref"), "text", "is_list")
     stem = F.regexp_replace(F.regexp_extract("source_id", r"([^/]*)$", 1), r"\.md$", "")
-    anchor = F.concat(F.lit(f"{label} "), F.regexp_extract("source_id", r"([^/]*)$", 1), F.lit("#"), F.regexp_extract("section", r"([^/]*)$", 1))
+    anchor = F.concat(F.lit(f"{label} "), "subref", F.lit("#"), F.regexp_extract("section", r"([^/]*)$", 1))
     return units(b, F.lit(label), F.concat_ws(":", F.regexp_replace(F.lit(label), " ", "-"), stem), least, anchor)
