@@ -20,7 +20,7 @@ def head(text: Column) -> Column:
     parts = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
     camel = text.rlike(CAMEL[0]) | text.rlike(CAMEL[1])
     unusable = (F.length(text) == 0) | ~text.rlike(r"\p{L}") | text.rlike(r"[._/]") | text.rlike(r"[0-9]")
-    return F.when(text.isNull() | unusable, F.lit(None)).when(camel, F.lower(F.array_join(parts, " "))).otherwise(F.lower(text))
+    return F.when(text.rlike("^[a-z]+$"), text).when(text.isNull() | unusable, F.lit(None)).when(camel, F.lower(F.array_join(parts, " "))).otherwise(F.lower(text))
 
 
 def lexicon_key(text: Column, compat: bool = False) -> Column:
