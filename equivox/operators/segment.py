@@ -8,21 +8,22 @@ from pyspark.sql.window import Window
 
 MIN_CHARS = 25
 END = r"(?<=[.!?])\s+"
+SQL_END = r"(?<=[.!?])[ \t\n\f\r]+"  # white space as SQL has it
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: Column, end: str = END) -> Column:
     """array<struct<n, text, start, end>>: sentences end at . ! or ? before white space; offsets are the
     paragraph's."""
-    parts = F.split(text, END)
+    parts = F.split(text, end)
     # the white space between sentences is one character in cleaned text
     started = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).cast("int").alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))
     return F.zip_with(parts, started["starts"], lambda p, s: F.struct(p.alias("text"), s.alias("start"), (s + F.length(p)).cast("int").alias("end")))
 
 
-def explode_sentences(paragraphs: DataFrame, text: str = "text") -> DataFrame:
+def explode_sentences(paragraphs: DataFrame, text: str = "text", end: str = END) -> DataFrame:
     """A row for each sentence, with sent_no, char_start, char_end; text is the sentence's."""
     others = [c for c in paragraphs.columns if c != text]
-    rows = paragraphs.select(*others, F.posexplode(sentences(F.col(text))).alias("sent_no", "s"))
+    rows = paragraphs.select(*others, F.posexplode(sentences(F.col(text), end)).alias("sent_no", "s"))
     return rows.select(*others, "sent_no", F.col("s.text").alias(text), F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"))
 
 

@@ -37,6 +37,14 @@ def word(terms) -> str:
     return r"(?iU)\b(?:" + "|".join(sorted(terms, key=lambda t: (-len(t), t))) + r")\b"
 
 
+def plain(terms) -> str:
+    """The same for lower case, with boundaries as SQL has them: only ASCII letters, digits and _ continue a word."""
+    return r"(?<![a-zA-Z0-9_])(?:" + "|".join(sorted(terms, key=lambda t: (-len(t), t))) + r")(?![a-zA-Z0-9_])"
+
+
+PASSIVE, PLAIN_PASSIVE = r"(?iU)\b(?:is|are|was|were|be|been|being)\s+\w+ed\b", r"(?<![a-zA-Z0-9_])(?:is|are|was|were|be|been|being)[ \t\n\f\r]+[a-zA-Z0-9_]+ed(?![a-zA-Z0-9_])"
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z']+"), lambda w: w != "")
 
@@ -58,7 +66,7 @@ def modal(text: Column, w: Weights, split: Column | None = None) -> tuple[Column
     return points, reasons
 
 
-def vague_words(text: Column) -> Column:
+def vague_words(text: Column, word=word) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(word(VAGUE)), F.lit(0)), F.lower)
 
 
@@ -68,7 +76,7 @@ def vague(text: Column, w: Weights, found: Column | None = None) -> tuple[Column
     return points, F.array(F.concat(F.size(found).cast("string"), F.lit(" vague: "), F.array_join(F.array_sort(F.array_distinct(found)), ", ")))
 
 
-def coordination(text: Column, w: Weights, tokens: Column | None = None) -> tuple[Column, Column]:
+def coordination(text: Column, w: Weights, tokens: Column | None = None, word=word) -> tuple[Column, Column]:
     """Both conjunctions; with tokens also a modifier after the last conjunct and three or more conjuncts."""
     both = text.rlike(word(["and"])) & text.rlike(word(["or"]))
     points, reasons = F.when(both, w.coordination).otherwise(0.0), [F.when(both, F.lit("and with or"))]
@@ -82,10 +90,10 @@ def coordination(text: Column, w: Weights, tokens: Column | None = None) -> tupl
     return points, F.filter(F.array(*reasons), lambda r: r.isNotNull())
 
 
-def passive(text: Column, w: Weights, tokens: Column | None = None) -> tuple[Column, Column]:
+def passive(text: Column, w: Weights, tokens: Column | None = None, word=word) -> tuple[Column, Column]:
     """A passive without an actor; without tokens by rule: a form of be, then a word in -ed, and no 'by'."""
     if tokens is None:
-        form = text.rlike(r"(?iU)\b(?:is|are|was|were|be|been|being)\s+\w+ed\b") & ~text.rlike(word(["by"]))
+        form = text.rlike(PLAIN_PASSIVE if word is plain else PASSIVE) & ~text.rlike(word(["by"]))
     else:
         has = F.exists(tokens, lambda t: t["dep"].isin("nsubjpass", "auxpass"))
         actor = F.exists(tokens, lambda t: (t["dep"] == "agent") | ((F.lower(t["text"]) == "by") & (t["dep"] == "prep")))
@@ -93,7 +101,7 @@ def passive(text: Column, w: Weights, tokens: Column | None = None) -> tuple[Col
     return F.when(form, w.passive).otherwise(0.0), F.array(F.lit("passive without an actor"))
 
 
-def anaphora(text: Column, w: Weights, tokens: Column | None = None, chunks: Column | None = None) -> tuple[Column, Column]:
+def anaphora(text: Column, w: Weights, tokens: Column | None = None, chunks: Column | None = None, word=word) -> tuple[Column, Column]:
     """A pronoun with two or more possible antecedents (needs tokens and chunks), else a referential phrase."""
     phrase = text.rlike(word(PHRASES))
     weak = F.when(phrase, w.phrase).otherwise(0.0)
@@ -109,19 +117,23 @@ def anaphora(text: Column, w: Weights, tokens: Column | None = None, chunks: Col
     return F.when(strong, w.anaphora).otherwise(weak), F.array(F.when(strong, F.lit("several antecedents")).otherwise(F.lit("referential phrase")))
 
 
-def signals(text: Column, w: Weights = Weights(), tokens: Column | None = None, chunks: Column | None = None, split: Column | None = None, found: Column | None = None) -> dict[str, tuple[Column, Column]]:
-    """split and found: the text's words and vague words where they are at hand."""
-    return {"modal_inconsistency": modal(text, w, split), "vague": vague(text, w, found), "coordination": coordination(text, w, tokens), "passive_no_actor": passive(text, w, tokens), "anaphora": anaphora(text, w, tokens, chunks)}
+def signals(text: Column, w: Weights = Weights(), tokens: Column | None = None, chunks: Column | None = None, split: Column | None = None, found: Column | None = None, word=word) -> dict[str, tuple[Column, Column]]:
+    """split and found: the text's words and vague words where they are at hand; word makes patterns of terms."""
+    return {"modal_inconsistency": modal(text, w, split), "vague": vague(text, w, found), "coordination": coordination(text, w, tokens, word), "passive_no_actor": passive(text, w, tokens, word), "anaphora": anaphora(text, w, tokens, chunks, word)}
 
 
-def score(df: DataFrame, text: str = "text", w: Weights = Weights(), tokens: str | None = None, chunks: str | None = None) -> DataFrame:
-    """df with a column of points for each signal, signals (those that fired) and score, their sum."""
-    df = df.withColumns({"_split": words(F.col(text)), "_vague": vague_words(F.col(text))})  # once for points and reasons
-    found = signals(F.col(text), w, F.col(tokens) if tokens else None, F.col(chunks) if chunks else None, F.col("_split"), F.col("_vague"))
+def score(df: DataFrame, text: str = "text", w: Weights = Weights(), tokens: str | None = None, chunks: str | None = None, ascii_words: bool = False) -> DataFrame:
+    """df with a column of points for each signal, signals (those that fired) and score, their sum.  With
+    ascii_words words end as they do in SQL, where letters beyond ASCII are no part of a word."""
+    own = plain if ascii_words else word
+    read = F.col("_low") if ascii_words else F.col(text)
+    df = df.withColumn("_low", F.lower(text)) if ascii_words else df
+    df = df.withColumns({"_split": words(read), "_vague": vague_words(read, own)})  # once for points and reasons
+    found = signals(read, w, F.col(tokens) if tokens else None, F.col(chunks) if chunks else None, F.col("_split"), F.col("_vague"), own)
     df = df.withColumns({f"{name}_points": points.cast("double") for name, (points, _) in found.items()})
     entries = F.array(*[F.struct(F.lit(name).alias("name"), F.round(F.col(f"{name}_points"), 3).alias("points"), reasons.alias("reasons")) for name, (_, reasons) in found.items()])
     total = sum((F.col(f"{name}_points") for name in found), F.lit(0.0))
-    return df.withColumns({"signals": F.filter(entries, lambda e: e["points"] > 0), "score": total}).drop("_split", "_vague")
+    return df.withColumns({"signals": F.filter(entries, lambda e: e["points"] > 0), "score": total}).drop("_low", "_split", "_vague")
 
 
 def top(df: DataFrame, n: int = 200, score: str = "score", order: tuple = ("uid",)) -> DataFrame:

@@ -11,3 +11,18 @@ def plan(df):
 
 def test_readings_read_sentences_once(spark):
     assert plan(QUERIES["parser_readings_rule"](spark, DATA)).count("FileScan parquet") == 2  # orders and part
+
+
+def test_words_end_as_in_sql(spark, tmp_path):
+    """In SQL letters beyond ASCII end a word: 'übe encodedß' holds be and encoded."""
+    import duckdb
+
+    from equivox.plans.catalogue import ORACLE
+
+    texts = ["Der Rat übe encodedß heute.", "El señor and a bñor c. beß padded.\x0bIs it?\n\nIt was coded by it.", "andé or oré. ſome SOME etcä", "Plain and or is used."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("triage_documents", "unit_segment"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(tuple(r) for r in df.collect()) == sorted(con.execute(f"select {', '.join(df.columns)} from ({ORACLE[name]})").fetchall())
