@@ -5,16 +5,17 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equivox.functions.text import clean
 from equivox.operators.segment import fill_forward, units
+from equivox.sources.batches import small_batches
 
 # fixed values
 FHIR_PAGES = ("datatypes", "json", "xml", "formats", "search", "http", "references", "extensibility", "terminologies", "narrative", "resource", "element", "datatypes-definitions", "search_filter", "codesystem", "valueset", "bundle")
@@ -96,15 +97,44 @@ def walk(path: str, html: str, main_id: str | None) -> Iterator[tuple]:
         yield path, pos, block["tag"], block["cls"], block["id"], section["sect"] if section else None, titles.get(id(section), "") if section else None, tbl, block["main"] or not has_main, " ".join("".join(block["parts"]).split())
 
 
-def html_blocks(pages: DataFrame, main_id: str | None = None) -> DataFrame:
-    """pages(path, html) -> BLOCKS."""
+PIECE = 1 << 20  # characters of text that leave Python at once, and the block they end in
+
+
+def frames(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size, so that memory follows neither the rows of a batch nor their blocks."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 256 + sum(len(v) for v in row if isinstance(v, str))
+        if size >= PIECE:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches, one at a time: no second copy of a batch in Python."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield tuple(column[at].as_py() for column in batch.columns)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [row for path, html in zip(batch["path"], batch["html"], strict=True) for row in walk(path, html, main_id)]
-            yield pd.DataFrame(rows, columns=["path", "pos", "tag", "cls", "id", "section", "section_title", "tbl", "in_main", "text"])
+def mapped(rows: DataFrame, read: Callable[[tuple], Iterator[tuple]], schema: str) -> DataFrame:
+    """read over each row.  Batches to Python hold at most 4 MiB and a row, unless the session has a setting of its own."""
+    small_batches(rows.sparkSession)
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    form = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(","))])
 
-    return pages.select("path", "html").mapInPandas(run, BLOCKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return frames((out for row in each(batches) for out in read(*row)), form)
+
+    return rows.mapInArrow(run, schema)
+
+
+def html_blocks(pages: DataFrame, main_id: str | None = None) -> DataFrame:
+    """pages(path, html) -> BLOCKS."""
+    return mapped(pages.select("path", "html"), lambda path, html: walk(path, html, main_id), BLOCKS)
 
 
 def docbook(pages: DataFrame, label: str, least: int = 25) -> DataFrame:
@@ -144,16 +174,13 @@ def spine(data: bytes) -> Iterator[tuple[int, str, str]]:
 def epub(books: DataFrame, label: str, skip: str = EPUB_SKIP, least: int = 25) -> DataFrame:
     """books(path, content binary) -> units; subref is the file within the book."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for k, name, xhtml in spine(content):
-                    rows += [(f"{path}#{k:05d}#{name}", *row[1:]) for row in walk(path, xhtml, None)]
-            yield pd.DataFrame(rows, columns=["path", "pos", "tag", "cls", "id", "section", "section_title", "tbl", "in_main", "text"])
+    def read(path: str, content: bytes) -> Iterator[tuple]:
+        for k, file, xhtml in spine(content):
+            for row in walk(path, xhtml, None):
+                yield (f"{path}#{k:05d}#{file}", *row[1:])
 
     name = F.regexp_extract("path", "#([^#]*)$", 1)
-    b = books.select("path", "content").mapInPandas(run, BLOCKS).where(~name.rlike(skip))
+    b = mapped(books.select("path", "content"), read, BLOCKS).where(~name.rlike(skip))
     by_id = F.when(F.col("id").rlike(r"^sec_\w+$"), F.regexp_replace(F.regexp_replace("id", "^sec_", ""), "_", "."))
     marked = F.col("cls").rlike(r"(^|\s)h\d") | F.col("tag").startswith("h")
     titled = F.col("cls").rlike(r"(^|\s)tit\d?(\s|$)")
@@ -194,17 +221,13 @@ def block_fill(pages: DataFrame) -> DataFrame:
     """pages(page_id, html) -> (page_id, pos, tag, text, title): blocks of h1-h5, p and li that have text, each
     with its whole text whatever is marked within, and the latest heading of its page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, page in zip(batch["page_id"], batch["html"], strict=True):
-                title, pos = None, 0
-                for _, _, tag, *_, text in walk("", page, None):
-                    if tag == "h6" or not text:
-                        continue
-                    title = text if tag in HEADINGS else title
-                    rows.append((page_id, pos, tag, text, title))
-                    pos += 1
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "tag", "text", "title"]).astype({"page_id": "Int64"})
-
-    return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(run, "page_id long, pos int, tag string, text string, title string")
+    def read(page_id: int | None, page: str | None) -> Iterator[tuple]:
+        title, pos = None, 0
+        for _, _, tag, *_, text in walk("", page, None):
+            if tag == "h6" or not text:
+                continue
+            title = text if tag in HEADINGS else title
+            yield page_id, pos, tag, text, title
+            pos += 1
+
+    return mapped(pages.select(F.col("page_id").cast("long"), "html"), read, "page_id long, pos int, tag string, text string, title string")

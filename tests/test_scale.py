@@ -26,3 +26,18 @@ def test_words_end_as_in_sql(spark, tmp_path):
     for name in ("triage_documents", "unit_segment"):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(tuple(r) for r in df.collect()) == sorted(con.execute(f"select {', '.join(df.columns)} from ({ORACLE[name]})").fetchall())
+
+
+def test_markup_leaves_python_in_pieces(spark):
+    import pyarrow as pa
+
+    from equivox.sources import html
+
+    rows = [(f"p{k}", "x" * 50_000) for k in range(100)]
+    got = list(html.frames(iter(rows), pa.schema([("path", pa.string()), ("text", pa.string())])))
+    assert len(got) >= 4 and max(b.nbytes for b in got) < 2 * html.PIECE
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
+    page = "<p>" + "y" * 2_000_000 + "</p><p></p>"
+    pages = spark.createDataFrame([("a", page), ("b", None), ("c", "")], "path string, html string")
+    assert sorted((r.path, r.pos, len(r.text)) for r in html.html_blocks(pages).collect()) == [("a", 0, 2_000_000), ("a", 1, 0)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4194304b"
